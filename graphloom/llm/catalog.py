@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from graphloom.llm import quality, sharding, url_filter
+from graphloom.llm import bitpack, packing, quality, sharding, url_filter
 
 QUERIES = {
+    "op1_best_fit_packing": packing.query,
     "op3_quality_rules": quality.query,
     "op4_kd_sharding": sharding.query,
+    "op7_bit_packing": bitpack.query,
     "op9_url_filter": url_filter.query,
 }
 
