@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import bitpack, packing, quality, sharding, url_filter
+from graphloom.llm import bitpack, packing, quality, sharding, simhash, url_filter
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_kd_sharding": sharding.query,
     "op7_bit_packing": bitpack.query,
     "op9_url_filter": url_filter.query,
+    "op10_simhash": simhash.query,
 }
 
 #: DuckDB SQL; the other queries are held against brute-force versions in tests/llm.
