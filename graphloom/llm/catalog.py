@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import bitpack, decontamination, packing, pii, quality, sharding, simhash, url_filter
+from graphloom.llm import bitpack, decontamination, packing, pii, quality, sharding, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_kd_sharding": sharding.query,
     "op6_decontamination": decontamination.query,
     "op7_bit_packing": bitpack.query,
+    "op8_toxicity": toxicity.query,
     "op9_url_filter": url_filter.query,
     "op10_simhash": simhash.query,
 }
