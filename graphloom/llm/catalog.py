@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from graphloom.llm import bitpack, decontamination, packing, pii, quality, sharding, simhash, toxicity, url_filter
+from graphloom.llm import bitpack, decontamination, licenses, packing, pii, quality, sharding, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op2_pii_sanitise": pii.query,
     "op3_quality_rules": quality.query,
     "op4_kd_sharding": sharding.query,
+    "op5_license_scan": licenses.query,
     "op6_decontamination": decontamination.query,
     "op7_bit_packing": bitpack.query,
     "op8_toxicity": toxicity.query,
