@@ -144,16 +144,13 @@ def pack(docs: DataFrame, path: str, cap: Capacity = Capacity(), end_id: int | N
     return place(staged(pieces(docs, path, cap.tokens, end_id), "pieces"), cap, score)
 
 
-def digest(packed: DataFrame) -> DataFrame:
-    return packed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"))
+def pack_digests(docs: DataFrame, path: str, cap: Capacity = Capacity(), end_id: int | None = 0, score: str = "norm") -> DataFrame:
+    """As ``pack``, with a digest of each piece's ids, made as they are encoded, in place of the ids: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    parts = pieces(docs, path, cap.tokens, end_id)
+    parts = staged(parts.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "piece-digests")
+    return place(parts, cap, score).select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op1: all documents in sequences of 2048 tokens.
-
-    The query digests each piece's ids as they are made and places the digests,
-    so that ids need not be carried to the result.
-    """
-    parts = pieces(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
-    parts = staged(parts.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "piece-digests")
-    return place(parts).select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
+    """op1: all documents in sequences of 2048 tokens."""
+    return pack_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))

@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from graphloom.llm.common import staged, table
 
@@ -205,14 +206,12 @@ def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def deduplicate(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
+def deduplicate(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     """One row of ``docs`` per component: that of the smallest doc_id, with all its columns; of equal ids one.
 
     Rows without doc_id can't be told apart by it and all stay.
     """
     kept = near_duplicates(docs.filter("doc_id is not null"), words, radius).filter("doc_id = component_id").select(F.col("doc_id").alias("__gl_id")).distinct()
-    from pyspark.sql.window import Window
-
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__gl_row")
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("__gl_id"), row).join(kept, "__gl_id", "left_semi")
     first = F.row_number().over(Window.partitionBy("__gl_id").orderBy(F.xxhash64("__gl_row.text")))
