@@ -11,22 +11,22 @@ from __future__ import annotations
 
 import re
 import sys
+import unicodedata
 from array import array
 from functools import lru_cache
 
-import regex
-
 #: Entries of one cache; a full one is emptied.
-CACHE = 250_000
+CACHE = 200_000
 #: Characters that Python counts as white space and the tokenizers don't.
 _ODD = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
-_NEXT_TO_SPACE = re.compile(r"\s \s|\s | \s")
 _BYTE_PIECES = re.compile("(?: ?[^{0}]+|[{0}]+(?![^{0}])|[{0}]+)".format("\t-\r \x85\xa0  -     　"))
 
 
-#: Printable and Latin characters that stand for themselves under NFC, and whose lower case depends on nothing beside them.
-_LATIN = re.compile("[\n !-~¡-¬®-įı-ɏ]*").fullmatch
+#: Latin characters that stand for themselves under NFC, whose lower case depends on nothing beside them, and common white space.
+_PLAIN = [c for c in map(chr, [9, 10, 13, *range(32, 127), *range(161, 592)]) if c not in "\xadİ"]
+_LATIN = re.compile(f"[{re.escape(''.join(_PLAIN))}]*").fullmatch
+_LETTERS, _NUMBERS = (re.escape("".join(c for c in _PLAIN if unicodedata.category(c)[0] == k)) for k in "LN")
 _LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
 
@@ -69,19 +69,18 @@ def _packed(ids: list[int]) -> bytes:
     return array("I", ids).tobytes() if _LITTLE else b"".join(i.to_bytes(4, "little") for i in ids)
 
 
-class _Model:
-    """The tokenizer's steps for one piece without white space.
+class _Runs:
+    """Texts of plain Latin characters, split into runs by the tokenizer's own rules.
 
-    A piece of plain Latin characters is normalised and split here by the
-    tokenizer's own rules, and its runs go to the tokenizer's merge model one by
-    one, which is several times faster than the whole chain; any other piece
-    goes through the whole chain.
+    The runs go to the tokenizer's merge model one by one, which is several
+    times faster than the whole chain. Such characters need no normalisation
+    but lower case.
     """
 
-    def __init__(self, tokenizer, runs: str, lower: bool):
-        self.tokenizer, self.tokenize, self.lower = tokenizer, tokenizer.model.tokenize, lower
-        self.find_runs = regex.compile(runs).findall
-        self.run = _Pieces(self._merge).__getitem__
+    def __init__(self, tokenizer, pattern: str, lower: bool):
+        self.tokenize, self.lower = tokenizer.model.tokenize, lower
+        self.find = re.compile(pattern.format(L=_LETTERS, N=_NUMBERS)).findall
+        self.of = _Pieces(self._merge).__getitem__
 
     def _merge(self, run: str) -> bytes:
         if run[0] == " " and _SHOWN(run, 1):
@@ -90,35 +89,35 @@ class _Model:
             run = run.encode().decode("latin-1").translate(_BYTE_CHARS)
         return _packed([t.id for t in self.tokenize(run)])
 
-    def __call__(self, piece: str) -> bytes:
-        if _LATIN(piece) is None:
-            return _packed(self.tokenizer.encode(piece, add_special_tokens=False).ids)
-        return b"".join(map(self.run, self.find_runs(piece.lower() if self.lower else piece)))
+    def __call__(self, text: str) -> bytes:
+        return b"".join(map(self.of, self.find(text.lower() if self.lower else text)))
 
 
 class WordEncoder:
-    """For tokenizers that drop white space (``word_bpe``): pieces are the words."""
+    """For tokenizers that drop white space (``word_bpe``): other texts are cut into words."""
 
     def __init__(self, tokenizer):
-        self.pieces = _Pieces(_Model(tokenizer, r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+", True))
+        self.runs = _Runs(tokenizer, r"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^\s{L}{N}]+", True)
+        self.words = _Pieces(lambda w: _packed(tokenizer.encode(w, add_special_tokens=False).ids))
 
     def __call__(self, text: str) -> bytes:
+        if _LATIN(text):
+            return self.runs(text)
         words = [w for w in _SPACE.split(text) if w] if _ODD.search(text) else text.split()
-        return b"".join(map(self.pieces.__getitem__, words))
+        return b"".join(map(self.words.__getitem__, words))
 
 
 class ByteEncoder:
-    """For byte-level BPE with the usual split rule: a piece starts at a space before a non-space."""
+    """For byte-level BPE with the usual split rule: in other texts a piece starts at a space before a non-space."""
 
     def __init__(self, tokenizer):
-        model = _Model(tokenizer, r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", False)
-        self.first, self.spaced = _Pieces(model), _Pieces(lambda piece: model(" " + piece))
+        self.runs = _Runs(tokenizer, r"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^\s{L}{N}]+|\s+(?!\S)|\s+", False)
+        self.pieces = _Pieces(lambda s: _packed(tokenizer.encode(s, add_special_tokens=False).ids))
 
     def __call__(self, text: str) -> bytes:
-        if _NEXT_TO_SPACE.search(text):
-            return b"".join(map(self.first.__getitem__, _BYTE_PIECES.findall(text)))
-        head, *rest = text.split(" ")
-        return (self.first[head] if head else b"") + b"".join(map(self.spaced.__getitem__, rest))
+        if _LATIN(text):
+            return self.runs(text)
+        return b"".join(map(self.pieces.__getitem__, _BYTE_PIECES.findall(text)))
 
 
 @lru_cache(maxsize=4)
