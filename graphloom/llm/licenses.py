@@ -76,20 +76,28 @@ def scan(docs: DataFrame, threshold: float = 0.7, templates=TEMPLATES) -> DataFr
     between templates of one licence count once; other columns are ignored.
     """
     known = template_bigrams(docs.sparkSession, templates)
+    if not known:
+        return docs.sparkSession.createDataFrame([], "doc_id long, licence string, dice double, n_units long")
     ratio = threshold / (2 - threshold)  # the smaller set's least share of the larger one
-    bounds = (min((len(b) for _, b in known), default=0) * ratio, max((len(b) for _, b in known), default=0) / ratio)
-    # n words make at most n - 1 bigrams, and d different words at least d - 1 different ones
-    units = F.filter(units_of(F.col("text")), lambda u: (F.length(F.trim(u)) > 0))
-    rows = docs.filter("text is not null").select(F.col("doc_id"), F.explode(units).alias("unit")).select("doc_id", words_of(F.col("unit")).alias("w"))
-    rows = rows.filter(F.size("w") >= F.lit(bounds[0])).select("doc_id", F.when(F.size(F.array_distinct("w")) - 1 <= F.lit(bounds[1]), bigrams_of(F.col("w"))).alias("b")).filter("b is not null")
-    rows = rows.filter((F.size("b") >= bounds[0]) & (F.size("b") <= bounds[1]))
+    sizes = [len(b) for _, b in known]
+    least, most = min(sizes) * ratio, max(sizes) / ratio
+    some_bigram = sorted({g for _, b in known for g in b})
+    some_word = sorted({w for g in some_bigram for w in g.split(" ")})
+    # a set of size n reaches the threshold only with so many members in common with the smallest template at least
+    enough = lambda common, n: 2 * common >= threshold * (n + min(sizes))
+    # d different words make at least d - 1 different bigrams, and a common bigram begins with a template's word
+    words = F.transform(units_of(F.col("text")), lambda u: words_of(u))
+    fitting = F.filter("__gl_w", lambda w: (F.size(w) >= least) & (F.size(F.array_distinct(w)) - 1 <= most) & enough(F.size(F.filter(w, lambda x: x.isin(some_word))), F.size(F.array_distinct(w)) - 1))
+    common = F.filter(F.transform("__gl_f", lambda w: bigrams_of(w)), lambda b: (F.size(b) >= least) & (F.size(b) <= most) & enough(F.size(F.filter(b, lambda g: g.isin(some_bigram))), F.size(b)))
+    rows = docs.filter("text is not null").select("doc_id", words.alias("__gl_w")).select("doc_id", fitting.alias("__gl_f"))
+    rows = rows.select("doc_id", F.explode(common).alias("b"))
     best: dict[str, list[Column]] = {}
     for licence, grams in known:
         n = len(grams)
         both = F.size(F.array_intersect(F.col("b"), F.array(*[F.lit(g) for g in grams])))
         dice = F.when((F.size("b") >= n * ratio) & (F.size("b") <= n / ratio), 2.0 * both / (F.size("b") + n))
         best.setdefault(licence, []).append(dice)
-    named = F.array(*[F.struct(F.lit(k).alias("licence"), (F.greatest(*v) if len(v) > 1 else v[0]).alias("dice")) for k, v in best.items()]) if best else F.array().cast("array<struct<licence:string,dice:double>>")
+    named = F.array(*[F.struct(F.lit(k).alias("licence"), (F.greatest(*v) if len(v) > 1 else v[0]).alias("dice")) for k, v in best.items()])
     hits = rows.select("doc_id", F.explode(F.filter(named, lambda s: s["dice"] >= threshold)).alias("s"))
     return hits.groupBy("doc_id", "s.licence").agg(F.max("s.dice").alias("dice"), F.count(F.lit(1)).alias("n_units"))
 
