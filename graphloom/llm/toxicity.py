@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import table
+from graphloom.llm.common import staged, table
 
 #: Word lists of the grammar: fixed values, in English, German, French and Spanish.
 NEGATIONS = frozenset("not never no isn't aren't nicht kein keine nie niemals pas jamais ni nunca jamás".split())
@@ -139,10 +139,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(True))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and toxic of the labelled documents that may be learned from."""
+def training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int = 40_000) -> DataFrame:
+    """doc_id, text and toxic of labelled documents that may be learned from: of ``max_labelled`` labels at most, chosen by a hash of doc_id.
+
+    The labels so bounded are broadcast, so no text is shuffled; the rows are
+    staged for the passes that learn from them.
+    """
     known = labels.filter("toxic in (0, 1)").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select(F.col("doc_id"), F.col("text")).filter("text is not null").join(known, "doc_id").select("doc_id", "text", "toxic")
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    rows = docs.select(F.col("doc_id"), F.col("text")).filter("text is not null").join(F.broadcast(known), "doc_id")
+    return staged(rows.select("doc_id", "text", "toxic"), "toxicity-labelled")
 
 
 def learn_lexicon(train: DataFrame, prior_odds: float = 1e-4, max_words: int = 20_000) -> dict[str, float]:
