@@ -190,7 +190,9 @@ def filter_documents(docs: DataFrame, labels: DataFrame, risk: float = 0.01, del
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__gl_row")
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(row, F.col("lang"), text.alias("__gl_t"), words_of(text).alias("__gl_w"))
-    return _measured(base, ("__gl_row", "lang")).filter(~F.col("base_failed") & ~rejects(cutoffs)).select("__gl_row.*")
+    keep = ~F.col("base_failed") & ~rejects(cutoffs)
+    # an explode and not a filter: a filter would be pushed below the measures and repeat each of them at every level
+    return _measured(base, ("__gl_row", "lang")).select(F.explode(F.when(keep, F.array("__gl_row"))).alias("__gl_row")).select("__gl_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
