@@ -182,17 +182,16 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.01, delta: float =
 def filter_documents(docs: DataFrame, labels: DataFrame, risk: float = 0.01, delta: float = 0.05) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns.
 
-    Features are measured on the labelled documents to set the cutoffs, then
-    on each row in passing: no join brings verdicts back to the texts.
+    Rows are written once beside their measures, and both the cutoffs and the
+    filter read that table: each text is measured once, no join brings
+    verdicts back to the texts, and no predicate repeats the measures.
     """
-    known = labels.filter("doc_id is not null").select("doc_id").distinct()
-    cutoffs = thresholds(staged(features(docs.select("doc_id", "text", "lang").join(known, "doc_id", "left_semi")), "quality-labelled"), labels, risk, delta)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__gl_row")
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select(row, F.col("lang"), text.alias("__gl_t"), words_of(text).alias("__gl_w"))
-    keep = ~F.col("base_failed") & ~rejects(cutoffs)
-    # an explode and not a filter: a filter would be pushed below the measures and repeat each of them at every level
-    return _measured(base, ("__gl_row", "lang")).select(F.explode(F.when(keep, F.array("__gl_row"))).alias("__gl_row")).select("__gl_row.*")
+    base = docs.select(row, F.col("doc_id"), F.col("lang"), text.alias("__gl_t"), words_of(text).alias("__gl_w"))
+    measured = staged(_measured(base, ("__gl_row", "doc_id", "lang")).select("__gl_row", "doc_id", "lang", "base_failed", *FEATURES), "quality-rows")
+    cutoffs = thresholds(measured, labels, risk, delta)
+    return measured.filter(~F.col("base_failed") & ~rejects(cutoffs)).select("__gl_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
