@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text
 from graphloom.operators import agent, answering, graph, knowledge, retrieval
-from graphloom.plans.catalog import BM25, GRAPH, _bm25, _gold, query
-from graphloom.sources.tables import graph_view, table
+from graphloom.plans.catalog import BM25, GRAPH, _bm25, _gold, _pagerank_sql, query
+from graphloom.sources.tables import full_graph_view, graph_view, table
 
 
 @query(r"""with w as (select doc_id as id, unnest(regexp_extract_all(text, '[\p{L}\p{N}\p{M}_-]+')) as w from documents) select w as surface, count(*) as n from w where w in ('the', 'der', 'que', 'idiot') group by 1""")
@@ -139,3 +139,59 @@ def source_ids(spark, d):
 def all_violations(spark, d):
     rules = [("SHORT", F.col("n_chars") < 200), ("LANG", F.col("lang") != "en"), ("ONE_LINE", ~F.col("text").contains("\n"))]
     return knowledge.histogram(table(spark, d, "documents").select(F.explode(knowledge.all_reasons(rules)).alias("mk")), "mk")
+
+
+# -- the graph of all relations ---------------------------------------------------------
+
+FULL = """with nodes as (select 'region:' || r_regionkey as id, 'region' as label, r_name as name from region union all select 'nation:' || n_nationkey, 'nation', n_name from nation union all select 'customer:' || c_custkey, 'customer', c_name from customer union all select 'supplier:' || s_suppkey, 'supplier', s_name from supplier union all select 'part:' || p_partkey, 'part', p_name from part),
+edges as (select 'nation:' || n_nationkey as src, 'IN_REGION' as type, 'region:' || n_regionkey as dst from nation union all select 'customer:' || c_custkey, 'IN_NATION', 'nation:' || c_nationkey from customer union all select 'supplier:' || s_suppkey, 'IN_NATION', 'nation:' || s_nationkey from supplier
+ union all select distinct 'customer:' || o_custkey, 'ORDERED', 'part:' || l_partkey from lineitem join orders on l_orderkey = o_orderkey union all select distinct 'supplier:' || l_suppkey, 'SUPPLIES', 'part:' || l_partkey from lineitem join orders on l_orderkey = o_orderkey) """
+
+
+@query(FULL + "select a.dst as a, count(*) as n from edges a join edges b on b.src = a.src where a.type = 'IN_NATION' and b.type = 'ORDERED' group by 1")
+def two_hop_pattern_full(spark, d):
+    edges = full_graph_view(spark, d)[1]
+    home = edges.filter("type = 'IN_NATION'").select(F.col("dst").alias("src"), F.lit("HOME_OF").alias("type"), F.col("src").alias("dst"))
+    return knowledge.histogram(graph.two_hop(home.unionByName(edges.filter("type = 'ORDERED'").select("src", "type", "dst")), "HOME_OF", "ORDERED"), "a")
+
+
+@query(FULL + "select id, label, count(*) as in_degree from nodes join edges on dst = id group by all order by in_degree desc, id limit 5")
+def in_degree_topk_full(spark, d):
+    return graph.in_degree_top(*full_graph_view(spark, d), 5)
+
+
+@query(FULL + "select id, label, name from nodes where id not in (select src from edges where type in ('ORDERED', 'SUPPLIES') union select dst from edges where type in ('ORDERED', 'SUPPLIES'))")
+def isolated_nodes_full(spark, d):
+    nodes, edges = full_graph_view(spark, d)
+    return graph.isolated(nodes, edges.filter("type in ('ORDERED', 'SUPPLIES')"))
+
+
+@query(FULL + ", deg as (select id, label, count(e) as degree from nodes left join (select src as e from edges union all select dst from edges) on e = id group by all) select label, max(degree) as max_degree, round(avg(degree), 6) as avg_degree from deg group by 1")
+def degree_stats_full(spark, d):
+    return graph.degrees(*full_graph_view(spark, d)).groupBy("label").agg(F.max("degree").alias("max_degree"), F.round(F.avg("degree"), 6).alias("avg_degree"))
+
+
+@query(FULL + "select dst as id, count(distinct src) as n, min(src) as first_src from edges where type = 'SUPPLIES' group by 1 having count(distinct src) > 1")
+def collect_improvers_full(spark, d):
+    return full_graph_view(spark, d)[1].filter("type = 'SUPPLIES'").groupBy(F.col("dst").alias("id")).agg(F.countDistinct("src").alias("n"), F.min("src").alias("first_src")).filter("n > 1")
+
+
+@query()
+def connected_components_full(spark, d):
+    return graph.components(*full_graph_view(spark, d))
+
+
+@query(_pagerank_sql(8).replace(GRAPH, FULL))
+def pagerank_full(spark, d):
+    return graph.pagerank(*full_graph_view(spark, d), 8, 0.85).select("id", F.round("score", 6).alias("score"))
+
+
+@query(FULL + ", c as (select id, split_part(id, ':', 1) as c from nodes), e as (select a.c as ca, b.c as cb from edges join c a on a.id = src join c b on b.id = dst), m as (select count(*)::double as m from e), v as (select c, count(*)::double as vol from (select ca as c from e union all select cb from e) group by 1), i as (select ca as c, count(*) filter (ca = cb) as ins from e group by 1) select round(sum(coalesce(ins, 0) / m - (vol / (2 * m)) * (vol / (2 * m))), 6) as modularity from v left join i using (c) cross join m")
+def modularity_full(spark, d):
+    nodes, edges = full_graph_view(spark, d)
+    return graph.modularity(edges, nodes.select("id", F.col("label").alias("community")))
+
+
+@query()
+def communities_full(spark, d):
+    return graph.communities(*full_graph_view(spark, d))

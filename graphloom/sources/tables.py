@@ -26,6 +26,17 @@ def graph_view(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return nodes, edges.withColumn("edge_id", F.xxhash64("src", "type", "dst"))
 
 
+def full_graph_view(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of all relations: those of ``graph_view`` without SELLS_TO, and parts, with ORDERED and SUPPLIES of every pair in lineitem and orders."""
+    nodes, edges = graph_view(spark, sf_dir)
+    ref = lambda label, key: F.concat(F.lit(f"{label}:"), F.col(key).cast("string"))
+    nodes = nodes.unionByName(table(spark, sf_dir, "part").select(ref("part", "p_partkey").alias("id"), F.lit("part").alias("label"), F.col("p_name").alias("name")))
+    sales = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    pairs = lambda src, kind: sales.select(src.alias("src"), F.lit(kind).alias("type"), ref("part", "l_partkey").alias("dst")).distinct()
+    edges = edges.filter("type <> 'SELLS_TO'").select("src", "type", "dst").unionByName(pairs(ref("customer", "o_custkey"), "ORDERED")).unionByName(pairs(ref("supplier", "l_suppkey"), "SUPPLIES"))
+    return nodes, edges.withColumn("edge_id", F.xxhash64("src", "type", "dst"))
+
+
 def supply_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The provenance view: relation rows (head, type, tail, prov) of lineitem, the type a surface predicate of its two flags."""
     li = table(spark, sf_dir, "lineitem")
