@@ -2,8 +2,8 @@
 
 The list holds canonical URLs: a host, a slash and a path, without scheme,
 query, fragment, a leading ``www.`` or a trailing slash. Each url of a page
-is tested under its lookup keys: its canonical URL, and the bare host with up
-to four of its parent domains. Distinct keys pass a blocked Bloom filter (one
+is tested under its lookup keys: its canonical URL, and the bare host with all
+its parent domains that have no more labels than some list entry. Distinct keys pass a blocked Bloom filter (one
 256-bit block of eight 32-bit lanes per key, one bit in each lane); possible
 hits go to an exact join with the list, which removes false positives.
 """
@@ -20,7 +20,6 @@ RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow",
 #: Hosts whose pages are unwanted whatever their path; a list entry is a canonical URL, so a whole host is the host and a slash.
 LISTED_HOSTS = tuple(f"{name}.example.{top}" for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org"))
 LANES = 8
-PARENTS = 4
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -47,12 +46,12 @@ def canonical(host: Column, path: Column) -> Column:
     return F.concat(bare, F.lit("/"), F.regexp_replace(F.regexp_replace(path, r"^/+", ""), r"/+$", ""))
 
 
-def lookup_keys(host: Column, path: Column) -> Column:
-    """Distinct canonical keys of a url: itself, then its host and parent domains of two labels at least."""
+def lookup_keys(host: Column, path: Column, longest: int) -> Column:
+    """Distinct canonical keys of a url: itself, then its host and parent domains of two to ``longest`` labels, the most that a list entry has."""
     bare = F.regexp_replace(F.regexp_replace(host, r":[0-9]*$", ""), r"^www\.", "")
     labels = F.split(bare, r"\.")
     n = F.size(labels)
-    parents = F.transform(F.sequence(F.lit(0), F.lit(PARENTS)), lambda i: F.when((n - i >= 2) | (i == 0), F.concat(F.array_join(F.slice(labels, i + 1, F.greatest(n - i, F.lit(1))), "."), F.lit("/"))))
+    parents = F.transform(F.sequence(F.greatest(n - max(longest, 2), F.lit(0)), F.greatest(n - 2, F.lit(0))), lambda i: F.concat(F.array_join(F.slice(labels, i + 1, n - i), "."), F.lit("/")))
     return F.array_distinct(F.filter(F.concat(F.array(canonical(host, path)), parents), lambda k: k.isNotNull() & (F.length(k) > 1)))
 
 
@@ -99,7 +98,8 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: tuple = RULES) -> Dat
     rule, action = match_rules(F.col("host"), F.col("path"), rules)
     split = split.select("page_id", "host", "path", rule.alias("rule"), action.alias("action"))
     urls = split.filter("rule is null and host <> ''").select("host", "path").distinct()
-    pairs = urls.select("host", "path", F.explode(lookup_keys(F.col("host"), F.col("path"))).alias("entry"))
+    longest = listed.agg(F.max(F.size(F.split(F.substring_index("entry", "/", 1), r"\.")))).first()[0] or 0
+    pairs = urls.select("host", "path", F.explode(lookup_keys(F.col("host"), F.col("path"), longest)).alias("entry"))
     hits = listed_keys(pairs.select("entry").distinct(), listed)
     listed_urls = pairs.join(hits, "entry").groupBy("host", "path").agg(F.sort_array(F.collect_set("entry")).alias("listed"))
     return split.join(listed_urls, ["host", "path"], "left").select(

@@ -92,6 +92,13 @@ def test_quality_awkward(spark):
     assert quality.judge(empty(spark), labels).count() == 0
 
 
+def test_any_number_of_labels_before_a_listed_host(spark):
+    urls = ["http://a.b.c.d.e.spam-farm.example.com/x", "http://" + "a." * 300 + "spam-farm.example.com", "http://a.b.c.d.e.f.farm.example.com/", "http://localhost/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(pages, url_filter.listed_hosts(spark)).collect()}
+    assert got == {0: "block", 1: "block", 2: "allow", 3: "allow"}
+
+
 def test_binomial_bound_is_exact():
     for k, n, delta in ((0, 10, 0.05), (3, 50, 0.01), (20, 4000, 0.001)):
         p = quality.binomial_upper(k, n, delta)
