@@ -2,7 +2,7 @@
 
 Units of a document are its lines, its paragraphs (runs of lines between blank
 ones) and the whole text. Units and templates are normalised alike: lower
-case, letters and digits only, copyright lines and years dropped. Two bigram
+case, letters and digits only, copyright holders and years dropped. Two bigram
 sets of sizes a and b can reach a Dice coefficient of t only if
 2 min(a, b) / (a + b) >= t, so a unit meets only templates of a fitting size;
 most units meet none, and their bigrams are never made. The scan is one
@@ -40,11 +40,12 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("Proprietary", "All rights reserved."),
 )
-_COPYRIGHT = r"(?im)^\W*(?:copyright|\(c\)|©).*$"
+#: A copyright mark at a line's start and the holder after it, up to the sentence's end or a grant; what follows is kept.
+_COPYRIGHT = r"(?im)^\W*(?:copyright(?!\s+(?:notice|holder|owner)s?\b)|\(c\)|©).*?(?:(?<=[\p{L}\p{Nd}]{2})[.;](?=\s|$)|(?=\ball rights reserved\b|\b(?:licensed|released|distributed) under\b)|$)"
 
 
 def words_of(text: Column) -> Column:
-    """Normalised words: copyright lines dropped, lower case, letters and digits, no years."""
+    """Normalised words: copyright holders dropped, lower case, letters and digits, no years."""
     plain = F.regexp_replace(F.lower(F.regexp_replace(text, _COPYRIGHT, " ")), r"[^\p{L}\p{Nd}]+", " ")
     return F.filter(F.split(F.trim(plain), " "), lambda w: (w != "") & ~w.rlike("^(?:19|20)[0-9]{2}$"))
 

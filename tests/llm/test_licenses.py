@@ -52,6 +52,12 @@ def test_templates_and_edits_find_themselves(spark):
     assert "MIT" in got[len(lic.TEMPLATES)] and len(texts) - 1 not in got
 
 
+def test_rest_of_a_copyright_line_counts(spark):
+    texts = ["Copyright 2024 ACME. All rights reserved.", "(c) 2020 X Co. Licensed under the Apache License, Version 2.0.", "Copyright (c) 2021 J. Doe, all rights reserved", "Copyright 2024 Ann"]
+    got = {(r["doc_id"], r["licence"]) for r in lic.scan(docs(spark, texts)).collect()}
+    assert got == {(0, "Proprietary"), (1, "Apache-2.0"), (2, "Proprietary")}
+
+
 @pytest.mark.parametrize("make", [awkward, empty])
 def test_awkward(spark, make):
     assert lic.scan(make(spark)).count() == 0
