@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +18,11 @@ WS = r"[\x20\x09-\x0D]+"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; one is set only where none is named."""
+    """The shared folder named by ``spark.checkpoint.dir``; where none is named, one is set if driver and executors are one process, else this raises."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
         named = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -48,6 +52,42 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove a staged table that nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _remove(df.sparkSession, path)
+
+
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for what is run inside, so that a worker holds few texts at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+#: A key with more than this share of the rows is hot; fewer than 1 / HOT keys can be.
+HOT = 0.0005
+
+
+def join_hot(rows: DataFrame, side: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``side`` (one row per ``key``), whose column ``count`` tells how many of the ``total`` rows have the key.
+
+    Keys with more than a share ``HOT`` of the rows are at most 1 / HOT in
+    number, whatever the data, so they are broadcast; only the rest is dealt
+    by key, and no task gets more than that share of one key. ``count`` is left out.
+    """
+    hot = F.col(count) > max(1.0, total * HOT)
+    few = side.filter(hot).drop(count).withColumn("__gl_hot", F.lit(True))
+    marked = rows.join(F.broadcast(few.select(key, "__gl_hot")), key, "left")
+    light = marked.filter("__gl_hot is null").drop("__gl_hot").join(side.filter(~hot).drop(count), key)
+    return rows.join(F.broadcast(few.drop("__gl_hot")), key).unionByName(light)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

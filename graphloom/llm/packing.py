@@ -12,10 +12,14 @@ histogram has at most ``tokens`` rows, whatever the size of the input; the
 driver plans over it, with runs of equal sequences as one row, and every piece
 finds its place from its rank among the pieces of its length. So the packing
 is global, without moving texts and without a step that grows with the input.
+
+With the default capacities tokens are what binds; ``Capacity`` takes smaller
+limits for documents and attention cost, and the plan keeps all three.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import salted_rank, staged, table
+from graphloom.llm.common import arrow_rows, salted_rank, staged, table
 from graphloom.llm.tokens import encoder, tokenizer_path
 
-PIECES = "doc_id long, piece int, start long, length int, ids binary"
+PIECES = "doc_id long, piece int, start long, length int, "
+#: Texts that a worker takes at once.
+BATCH = 500
 
 
 @dataclass(frozen=True)
@@ -39,25 +45,30 @@ class Capacity:
     attention: int = 2048 * 2048
 
 
-def pieces(docs: DataFrame, path: str, tokens: int = 2048, end_id: int | None = 0) -> DataFrame:
-    """Token ids of each text, cut after every ``tokens``: doc_id, piece, start, length, ids.
+def pieces(docs: DataFrame, path: str, tokens: int = 2048, end_id: int | None = 0, digest: bool = False) -> DataFrame:
+    """Token ids of each text, cut after every ``tokens``: doc_id, piece, start, length, ids, staged.
 
-    ``ids`` are little-endian unsigned 32-bit integers; ``end_id`` follows each
-    document. Only documents of more than ``tokens`` are cut. Null text counts
-    as empty; a document without ids (no text, no end id) has no piece.
+    ``ids`` are little-endian unsigned 32-bit integers, or with ``digest``
+    their crc32 in their place (ids_crc32); ``end_id`` follows each document.
+    Only documents of more than ``tokens`` are cut. Null text counts as empty;
+    a document without ids (no text, no end id) has no piece.
     """
+    last = ("ids_crc32", pa.int64()) if digest else ("ids", pa.binary())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(path), b"" if end_id is None else end_id.to_bytes(4, "little")
-        schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), last])
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = encode(text.as_py() or "") + end
-                rows += [(doc_id, i, i * tokens, len(part) // 4, part) for i, at in enumerate(range(0, len(ids), 4 * tokens)) if (part := ids[at : at + 4 * tokens])]
+                parts = [ids[at : at + 4 * tokens] for at in range(0, len(ids), 4 * tokens)]
+                rows += [(doc_id, i, i * tokens, len(part) // 4, zlib.crc32(part) if digest else part) for i, part in enumerate(parts)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, schema, strict=True)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    with arrow_rows(docs.sparkSession, BATCH):
+        return staged(texts.mapInArrow(cut, PIECES + ("ids_crc32 long" if digest else "ids binary")), "pieces")
 
 
 def plan(counts: dict[int, int], cap: Capacity = Capacity(), score: str = "norm", weights: tuple[float, float, float] = (1.0, 0.02, 0.02)) -> tuple[np.ndarray, int]:
@@ -118,21 +129,17 @@ def place(parts: DataFrame, cap: Capacity = Capacity(), score: str = "norm") ->
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     steps, _ = plan(counts, cap, score)
     ranked = salted_rank(parts, ["length"], ["doc_id", "piece"], "__gl_rank", sum(counts.values()))
-    span = np.int64(1) << 40
-    keys = steps[:, 0] * span + steps[:, 1]
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length, rank = batch.column("length").to_numpy().astype(np.int64), batch.column("__gl_rank").to_numpy()
-            at = np.searchsorted(keys, length * span + rank, side="right") - 1
-            to, nth = np.divmod(rank - steps[at, 1], steps[at, 3]) if len(rank) else (rank, rank)
-            seq, offset = (steps[at, 2] + to, steps[at, 4] + nth * length) if len(rank) else (rank, rank)
-            cols = [c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != "__gl_rank"]
-            names = [n for n in batch.schema.names if n != "__gl_rank"]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(seq, pa.int64()), pa.array(offset, pa.int64())], names=[*names, "sequence_id", "offset"])
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in ranked.dtypes if n != "__gl_rank")
-    return ranked.mapInArrow(find, f"{schema}, sequence_id long, offset long")
+    # the plan as a table: a length's steps in one row, at most cap.tokens rows
+    by: dict[int, list[tuple[int, int, int, int]]] = {}
+    for length, rank, first, per, offset in steps.tolist():
+        by.setdefault(length, []).append((rank, first, per, offset))
+    table = parts.sparkSession.createDataFrame(list(by.items()), "`__gl_length` int, `__gl_steps` array<struct<rank:bigint,first:bigint,per:bigint,offset:bigint>>")
+    step = F.element_at(F.filter("__gl_steps", lambda s: s["rank"] <= F.col("__gl_rank")), -1)
+    found = ranked.join(F.broadcast(table), F.col("length") == F.col("__gl_length")).withColumn("__gl_step", step)
+    nth = F.col("__gl_rank") - F.col("__gl_step.rank")
+    found = found.withColumn("sequence_id", F.col("__gl_step.first") + F.floor(nth / F.col("__gl_step.per")).cast("long"))
+    found = found.withColumn("offset", F.col("__gl_step.offset") + nth % F.col("__gl_step.per") * F.col("length"))
+    return found.drop("__gl_rank", "__gl_length", "__gl_steps", "__gl_step")
 
 
 def pack(docs: DataFrame, path: str, cap: Capacity = Capacity(), end_id: int | None = 0, score: str = "norm") -> DataFrame:
@@ -141,13 +148,12 @@ def pack(docs: DataFrame, path: str, cap: Capacity = Capacity(), end_id: int | N
     Null text counts as empty (its end id is packed); equal rows are packed
     each; an empty table gives no rows; other columns of ``docs`` are ignored.
     """
-    return place(staged(pieces(docs, path, cap.tokens, end_id), "pieces"), cap, score)
+    return place(pieces(docs, path, cap.tokens, end_id), cap, score)
 
 
 def pack_digests(docs: DataFrame, path: str, cap: Capacity = Capacity(), end_id: int | None = 0, score: str = "norm") -> DataFrame:
     """As ``pack``, with a digest of each piece's ids, made as they are encoded, in place of the ids: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    parts = pieces(docs, path, cap.tokens, end_id)
-    parts = staged(parts.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "piece-digests")
+    parts = pieces(docs, path, cap.tokens, end_id, digest=True)
     return place(parts, cap, score).select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 

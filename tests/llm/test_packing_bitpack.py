@@ -1,4 +1,5 @@
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -12,15 +13,24 @@ from graphloom.llm.tokens import encoder, tokenizer_path
 from .helpers import awkward, empty
 
 WORD, BYTE = "word_bpe_49k.json", "byte_bpe_50k.json"
-ODD = ["a  b", "a\n \nb", "  x", "x  ", "x \n", "a\x1cb c", "　a　b", "İstanbul ǅx ª²¼\n a\nb", "I'm don't'll", "\n\n x\t y", "é ́x", "ΑΣ ΑΣ.", "<|endoftext|> a<|endoftext|>b", "a\x85b", "🙂 🙂🙂‍ x", "", " ", "  ", " a", "a "]
+ODD = ["a  b", "a\n \nb", "  x", "x  ", "x \n", "a\x1cb c", "　a　b", "İstanbul ǅx ª²¼\n a\nb", "I'm don't'll", "\n\n x\t y", "é ́x", "ΑΣ ΑΣ.", "<|endoftext|> a<|endoftext|>b", "é<|startoftext|>", "<|ENDOFTEXT|>", "a\x85b", "🙂 🙂🙂‍ x", "", " ", "  ", " a", "a "]
 
 
-def whole(name, text):
+@lru_cache
+def tokenizer(name):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer_path(name))
-    t.encode_special_tokens = True
-    return t.encode(text, add_special_tokens=False).ids
+    return Tokenizer.from_file(tokenizer_path(name))
+
+
+def whole(name, text):
+    return tokenizer(name).encode(text, add_special_tokens=False).ids
+
+
+def test_special_strings_can_be_ordinary_text():
+    path = tokenizer_path(BYTE)
+    assert np.frombuffer(encoder(path)("a<|endoftext|>"), "<u4").tolist()[-1] == 50256
+    assert 50256 not in np.frombuffer(encoder(path, special=False)("a<|endoftext|>"), "<u4")
 
 
 @pytest.mark.parametrize("name", [WORD, BYTE])
