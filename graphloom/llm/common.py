@@ -99,9 +99,10 @@ def salted_rank(df: DataFrame, keys: list[str], order: list[str], out: str, rows
     ranked by itself and shifted by the counts of the salts before it. The
     counts table has one row per key and salt, so a key that holds a third of
     all rows is ranked by many tasks. ``rows`` is the number of rows of ``df``
-    (an upper estimate will do): about ``per_task`` rows share a salt.
+    (an upper estimate will do): about ``per_task`` rows share a salt, of which
+    there are 64 at least.
     """
-    salts = max(1, -(-rows // per_task))
+    salts = max(64, -(-rows // per_task))
     salt, within, shift = "__gl_salt", "__gl_within", "__gl_shift"
     dealt = df.withColumn(salt, F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
     counts = dealt.groupBy(*keys, salt).agg(F.count(F.lit(1)).alias("__gl_n"))

@@ -63,7 +63,10 @@ def test_file_round_trip_and_random_access(tmp_path):
         for i, d in enumerate(docs):
             w.add(i, d)
         w.close()
-    r = bitpack.Reader((tmp_path / "f").read_bytes())
+    data = (tmp_path / "f").read_bytes()
+    r = bitpack.Reader(lambda offset, length: data[offset : offset + length], len(data))
+    for size in (1, 50, 10_000):
+        assert np.concatenate([x for _, _, x in r.runs(size)]).tolist() == np.concatenate(docs).tolist()
     assert [r.document(i).tolist() for i in range(r.n_docs)] == [d.tolist() for d in docs]
     assert r.ids(70, 90).tolist() == np.concatenate(docs)[70:90].tolist()
 
@@ -86,6 +89,26 @@ def test_bitpack_awkward(spark, make, n):
     assert sum(r["n_tokens"] for r in rows) == max([r["start"] + r["n_tokens"] for r in rows], default=0)
 
 
+def test_bitpack_ids_minus_one_and_null_and_a_task_per_file(spark):
+    frame = spark.createDataFrame([(None, "a"), (-1, "b b"), (0, ""), (None, None), (-1, "b b"), *((i, f"t {i}") for i in range(1, 40))], "doc_id long, text string")
+    folder = scratch_path(spark, "t")
+    manifest = bitpack.write(frame, tokenizer_path(BYTE), folder, file_bytes=20)
+    files = manifest.count()
+    assert files > 4
+    back = bitpack.read(manifest, folder)
+    got = sorted(((r["start"], r["doc_id"], np.frombuffer(r["ids"], "<u4").tolist()) for r in back.collect()))
+    ids = [d for _, d, _ in got]
+    assert ids == [None, None, -1, -1, *range(40)]
+    texts = {i: t for i, t in frame.filter("doc_id >= 0").collect()}
+    assert all(x == whole(BYTE, texts[i]) + [2] for _, i, x in got if i is not None and i >= 0)
+    # as many tasks as files, one file each
+    assert back.rdd.getNumPartitions() == files
+    from pyspark.sql import functions as F
+
+    per = back.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.count("*").alias("n")).count()
+    assert per == files
+
+
 def check_packing(rows, tokens=2048):
     by = {}
     for r in rows:
