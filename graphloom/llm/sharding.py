@@ -4,10 +4,12 @@ A tree node holds a share of the shards. It is cut at the weighted quantile
 that gives each side its share of the bytes, along the metadata dimension
 that is widest in that node, until a node has one shard. Every row has one
 63-bit key per dimension: the scaled value in the high bits, then a hash of
-the text, then a hash of the id. The text hash keeps equal texts together
-where a cut allows it; the id hash lets a cut run through a group of copies
-that outweighs a shard. So a cut can always come as near to its target as
-single rows permit, whatever one value weighs.
+the text, a hash of the id, and a hash of the row's own number. The text hash
+keeps equal texts together where a cut allows it; the id hash lets a cut run
+through a group of copies that outweighs a shard, the row hash through rows
+equal in all they hold. So a cut comes as near to its target as 1/16384 of
+such a group permits, whatever one value, text or row weighs. Keys are
+written once, so every pass and repeated task sees the same ones.
 
 The medians are found by histograms: each pass sums the bytes of 4,096 equal
 intervals of the range left in each node and goes on inside the interval
@@ -24,8 +26,9 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import salted_rank, staged
 
-#: Bits of a key for the value, the text's hash and the id's hash.
-VALUE_BITS, TEXT_BITS, ID_BITS = 23, 20, 20
+#: Bits of a key for the value and the hashes of text, id and row.
+VALUE_BITS, TEXT_BITS, ID_BITS, ROW_BITS = 15, 17, 17, 14
+KEY_BITS = VALUE_BITS + TEXT_BITS + ID_BITS + ROW_BITS
 BINS = 4096
 
 
@@ -58,12 +61,17 @@ def sizes(docs: DataFrame, overhead: int = 8) -> DataFrame:
 def _keys(rows: DataFrame, dims: list[str]) -> DataFrame:
     lo_hi = rows.agg(*[f(d).alias(f"{n}{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]).first()
 
+    text = F.shiftleft(F.pmod(F.col("th"), F.lit(1 << TEXT_BITS)), ID_BITS + ROW_BITS)
+    doc = F.shiftleft(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "th"), F.lit(1 << ID_BITS)), ROW_BITS)
+    own = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << ROW_BITS))
+
     def key(d: str) -> Column:
         lo, hi = lo_hi[f"lo{d}"] or 0.0, lo_hi[f"hi{d}"] or 0.0
         top = (1 << VALUE_BITS) - 1
         value = F.lit(0) if hi <= lo else F.floor((F.col(d) - lo) / (hi - lo) * top)
-        return F.shiftleft(value.cast("long"), TEXT_BITS + ID_BITS) + F.shiftleft(F.pmod(F.col("th"), F.lit(1 << TEXT_BITS)), ID_BITS) + F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "th"), F.lit(1 << ID_BITS))
+        return F.shiftleft(value.cast("long"), KEY_BITS - VALUE_BITS) + text + doc + F.col("own")
 
+    rows = rows.withColumn("own", own)
     return rows.select("doc_id", "size", "text_crc32", *[key(d).alias(f"k{i}") for i, d in enumerate(dims)])
 
 
@@ -90,7 +98,7 @@ def kd_shards(docs: DataFrame, shards: int = 24, tolerance: float = 0.002, overh
     rows = staged(_keys(raw, dims), "kd-keys").withColumn("__gl_node", F.lit(0))
     total = rows.agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).first()
     n_rows, target = total["n"], (total["s"] or 0) / shards
-    widest = (1 << VALUE_BITS + TEXT_BITS + ID_BITS) - 1
+    widest = (1 << KEY_BITS) - 1
     level = [Node(0, shards)]
     while any(n.shards > 1 for n in level) and n_rows:
         open_nodes = [n for n in level if n.shards > 1]

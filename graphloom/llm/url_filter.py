@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import table
+from graphloom.llm.common import left_join_hot, staged, table
 
 #: (action, host, path) of the contract's rules.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -46,13 +46,13 @@ def canonical(host: Column, path: Column) -> Column:
     return F.concat(bare, F.lit("/"), F.regexp_replace(F.regexp_replace(path, r"^/+", ""), r"/+$", ""))
 
 
-def lookup_keys(host: Column, path: Column, longest: int) -> Column:
-    """Distinct canonical keys of a url: itself, then its host and parent domains of two to ``longest`` labels, the most that a list entry has."""
+def parent_keys(host: Column, longest: int) -> Column:
+    """Keys of a host and its parent domains of two to ``longest`` labels, the most that a list entry has."""
     bare = F.regexp_replace(F.regexp_replace(host, r":[0-9]*$", ""), r"^www\.", "")
     labels = F.split(bare, r"\.")
     n = F.size(labels)
     parents = F.transform(F.sequence(F.greatest(n - max(longest, 2), F.lit(0)), F.greatest(n - 2, F.lit(0))), lambda i: F.concat(F.array_join(F.slice(labels, i + 1, n - i), "."), F.lit("/")))
-    return F.array_distinct(F.filter(F.concat(F.array(canonical(host, path)), parents), lambda k: k.isNotNull() & (F.length(k) > 1)))
+    return F.filter(parents, lambda k: F.length(k) > 1)
 
 
 def _block(key: Column, blocks: int) -> Column:
@@ -97,15 +97,25 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: tuple = RULES) -> Dat
     split = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, action = match_rules(F.col("host"), F.col("path"), rules)
     split = split.select("page_id", "host", "path", rule.alias("rule"), action.alias("action"))
-    urls = split.filter("rule is null and host <> ''").select("host", "path").distinct()
+    open_rows = split.filter("rule is null and host <> ''")
+    urls = staged(open_rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")), "urls")
     longest = listed.agg(F.max(F.size(F.split(F.substring_index("entry", "/", 1), r"\.")))).first()[0] or 0
-    pairs = urls.select("host", "path", F.explode(lookup_keys(F.col("host"), F.col("path"), longest)).alias("entry"))
-    hits = listed_keys(pairs.select("entry").distinct(), listed)
-    listed_urls = pairs.join(hits, "entry").groupBy("host", "path").agg(F.sort_array(F.collect_set("entry")).alias("listed"))
-    return split.join(listed_urls, ["host", "path"], "left").select(
+    hosts = urls.groupBy("host").agg(F.sum("n").alias("n"))
+    of_host = hosts.select("host", "n", F.explode(parent_keys(F.col("host"), longest)).alias("entry"))
+    of_url = urls.select("host", "path", "n", canonical(F.col("host"), F.col("path")).alias("entry"))
+    hits = staged(listed_keys(of_host.select("entry").union(of_url.select("entry")).distinct(), listed), "listed-keys")
+    found = lambda pairs, *keys: pairs.join(hits, "entry").groupBy(*keys).agg(F.sort_array(F.collect_set("entry")).alias("listed"), F.max("n").alias("n"))
+    by_host = found(of_host, "host")
+    by_url = found(of_url, "host", "path").withColumnRenamed("listed", "listed_url")
+    rows = staged(by_host.withColumnRenamed("listed", "listed_host"), "listed-hosts")
+    total = urls.agg(F.sum("n")).first()[0] or 0
+    split = left_join_hot(left_join_hot(split, rows, ["host"], "n", total), staged(by_url, "listed-urls"), ["host", "path"], "n", total)
+    both = F.sort_array(F.array_distinct(F.concat(F.coalesce("listed_host", F.array().cast("array<string>")), F.coalesce("listed_url", F.array().cast("array<string>")))))
+    ruled = F.col("rule").isNotNull()
+    return split.withColumn("listed", F.when(~ruled, both)).select(
         "page_id", "host", "path", "rule",
-        F.coalesce("action", F.when(F.col("listed").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
-        F.when(F.col("rule").isNull(), F.coalesce("listed", F.array().cast("array<string>"))).alias("listed"),
+        F.when(ruled, F.col("action")).otherwise(F.when(F.size("listed") > 0, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
+        "listed",
     )
 
 

@@ -31,6 +31,58 @@ def test_one_group_of_copies_is_dealt_out(spark):
     assert len(sizes) == 8 and max(sizes.values()) <= 1.05 * min(sizes.values()) + 60
 
 
+def test_one_row_repeated_is_dealt_out(spark):
+    """Rows equal in doc_id and text, alone and beside others."""
+    for rows in ([(7, "one row again")] * 2400, [(7, "one row again")] * 1200 + [(i, f"text {i}") for i in range(1200)]):
+        sizes, slots = collections.Counter(), collections.defaultdict(list)
+        for r in sharding.kd_shards(spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string"), 24).collect():
+            sizes[r["shard"]] += r["size"]
+            slots[r["shard"]].append(r["slot"])
+        assert len(sizes) == 24 and max(sizes.values()) <= 1.05 * min(sizes.values()) + 100
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def brute_kd(rows, shards, dims):
+    """Shard by row: cut at the weighted median of the widest dimension, by exact cumulative sums over sorted keys."""
+    out, level = {}, [(list(rows), 0, shards)]
+    while level:
+        part, first, n = level.pop()
+        if n == 1 or not part:
+            out.update((r["at"], first) for r in part)
+            continue
+        spread = [max(r[f"k{i}"] for r in part) - min(r[f"k{i}"] for r in part) for i in range(dims)]
+        dim = f"k{spread.index(max(spread))}"
+        want, below, best = sum(r["size"] for r in part) * (n // 2) / n, 0, None
+        weights = collections.Counter()
+        for r in part:
+            weights[r[dim]] += r["size"]
+        for k in sorted(weights):
+            for cut, left in ((k, below), (k + 1, below + weights[k])):
+                if best is None or abs(left - want) < best[0]:
+                    best = (abs(left - want), cut)
+            below += weights[k]
+        left = [r for r in part if r[dim] < best[1]]
+        level += [(left, first, n // 2), ([r for r in part if r[dim] >= best[1]], first + n // 2, n - n // 2)]
+    return out
+
+
+def test_shards_against_brute_force(spark, sf_dir, monkeypatch):
+    """Every row's shard, and so every cut, equals that of a k-d tree built by sorting."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = {}
+    keys = sharding._keys
+
+    def keep(rows, dims):
+        # of rows with unique ids only the row hash depends on the row's place; leave it out, so that keys can be made again
+        kept["rows"] = keys(rows, dims).selectExpr("doc_id", "size", "text_crc32", *[f"k{i} - pmod(k{i}, {1 << sharding.ROW_BITS}) as k{i}" for i in range(len(dims))])
+        return kept["rows"]
+
+    monkeypatch.setattr(sharding, "_keys", keep)
+    got = {r["doc_id"]: r["shard"] for r in sharding.kd_shards(d, 24, tolerance=0.0).collect()}
+    rows = [{**r.asDict(), "at": r["doc_id"]} for r in kept["rows"].collect()]
+    assert got == brute_kd(rows, 24, 3)
+
+
 @pytest.mark.parametrize("make,n", [(awkward, 9), (empty, 0)])
 def test_shards_awkward(spark, make, n):
     assert sharding.kd_shards(make(spark), 4).count() == n
