@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.llm.common import staged, table
+from graphloom.llm.common import discard, join_hot, staged, table
 
 #: Largest block of a bucket that one group compares.
 BLOCK = 1024
@@ -59,15 +59,20 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed long) of every row."""
+    """doc_id, th (hash of the text) and fp (the fingerprint's bits as a signed long) of every row."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64), pa.int64())], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py(), words) for t in batch.column("text")], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(fps.view(np.int64), pa.int64())], names=["doc_id", "th", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(of, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("th"), text.alias("text")).mapInArrow(of, "doc_id long, th long, fp long")
 
 
 def masks(radius: int, seed: int = 1) -> list[int]:
@@ -160,46 +165,56 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star: each round hooks every node's
     neighbours to its smallest one, until nothing changes. Minima are
-    aggregated before rows move, so a node with very many links is no task of
-    its own; rounds are staged in the shared folder.
+    aggregated before rows move, and links of a node with very many meet its
+    minimum by a broadcast, so no such node is a task of its own; rounds are
+    staged in the shared folder, and the round before is removed.
     """
     edges = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    last = None
+    n, last = edges.count(), None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = staged(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "minima")
         # large star: every larger neighbour of a node goes to the node's minimum
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = staged(join_hot(both.filter("v > u"), low, ["u"], "n", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large-star")
         # small star: every smaller neighbour, and the node, go to the smallest
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(small, "u")
-        edges = staged(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "edges")
+        small = staged(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "minima")
+        joined = join_hot(large, small, ["u"], "n", 2 * n)
+        done = staged(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "edges")
+        for old in (edges, low, large, small):
+            discard(old)
+        edges = done
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == last:
             break
-        last = state
+        last, n = state, state[0]
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _grouped(docs: DataFrame, words: int, radius: int) -> DataFrame:
+    """doc_id, th (hash of the text), fp, component_id and root (the component's smallest fingerprint) of every row."""
+    rows = staged(fingerprints(docs, words), "fingerprints")
+    firsts = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
+    roots = staged(components(links(firsts.select("fp"), radius)), "components")
+    linked = roots.join(firsts, roots["node"] == firsts["fp"])
+    ids = linked.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    of_fp = join_hot(roots, staged(ids, "component-ids"), ["root"], "n", roots.count()).select(F.col("node").alias("fp"), "component_id", "root")
+    named = firsts.join(of_fp, "fp", "left").select("fp", "n", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return join_hot(rows, staged(named, "named"), ["fp"], "n", rows.count())
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id of the row's component) for every row of ``docs``.
 
     Null text counts as empty; empty texts share fingerprint zero; a null
     doc_id never names a component, unless all of a component's are null; equal
     rows share a component; an empty table gives no rows; other columns are
-    ignored.
+    ignored. Within a bucket all distinct fingerprints are compared, in blocks:
+    the work is the square of a bucket's distinct fingerprints.
     """
-    rows = staged(fingerprints(docs, words), "fingerprints")
-    firsts = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    roots = staged(components(links(firsts.select("fp"), radius)), "components")
-    linked = roots.join(firsts, roots["node"] == firsts["fp"])
-    ids = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_fp = roots.join(ids, "root").select(F.col("node").alias("fp"), "component_id")
-    named = firsts.join(of_fp, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    return _grouped(docs, words, radius).select("doc_id", "fp", "component_id")
 
 
 def hex_of(fp: Column) -> Column:
@@ -207,14 +222,17 @@ def hex_of(fp: Column) -> Column:
 
 
 def deduplicate(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
-    """One row of ``docs`` per component: that of the smallest doc_id, with all its columns; of equal ids one.
+    """One row of ``docs`` per component, with all its columns: of its smallest doc_id, and of different texts under that id the one of the least hash; of rows equal in both one.
 
-    Rows without doc_id can't be told apart by it and all stay.
+    Rows without doc_id can't be told apart by it and all stay. Unlike texts
+    under one doc_id are in components of their own and each keep a row.
     """
-    kept = near_duplicates(docs.filter("doc_id is not null"), words, radius).filter("doc_id = component_id").select(F.col("doc_id").alias("__gl_id")).distinct()
+    known = docs.filter("doc_id is not null")
+    member = F.struct("doc_id", "th")
+    kept = _grouped(known, words, radius).groupBy("root").agg(F.min(member).alias("m")).select(F.col("m.doc_id").alias("__gl_id"), F.col("m.th").alias("__gl_th")).distinct()
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__gl_row")
-    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("__gl_id"), row).join(kept, "__gl_id", "left_semi")
-    first = F.row_number().over(Window.partitionBy("__gl_id").orderBy(F.xxhash64("__gl_row.text")))
+    rows = known.select(F.col("doc_id").cast("long").alias("__gl_id"), text_hash(F.col("text")).alias("__gl_th"), row).join(kept, ["__gl_id", "__gl_th"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("__gl_id", "__gl_th").orderBy("__gl_id"))
     one = rows.withColumn("__gl_n", first).filter("__gl_n = 1").select("__gl_row.*")
     return one.unionByName(docs.filter("doc_id is null"))
 

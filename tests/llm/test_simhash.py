@@ -81,3 +81,16 @@ def test_deduplicate_keeps_columns_and_one_of_each(spark):
 def test_equal_texts_by_case(spark):
     rows = simhash.near_duplicates(docs(spark, ["A b  c d e", "a B\nc d E", "É x y z w", "é x y z w"])).collect()
     assert {r["doc_id"]: r["component_id"] for r in rows} == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
+def test_unlike_texts_under_one_id_both_stay(spark):
+    rows = [(1, "alpha beta gamma delta epsilon"), (1, "quite another text of many other words"), (1, "alpha beta gamma delta epsilon"), (2, "Alpha beta gamma delta epsilon"), (3, "third text")]
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted({rows[0], rows[1], rows[4]})
+
+
+def test_components_of_a_star_and_a_chain(spark):
+    """A node with most of the links, and a long chain."""
+    star, chain = [(0, i) for i in range(1, 3000)], [(5000 + i, 5001 + i) for i in range(60)]
+    roots = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(star + chain, "a long, b long")).collect()}
+    assert roots == {**{i: 0 for i in range(3000)}, **{5000 + i: 5000 for i in range(61)}}
