@@ -1,18 +1,25 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Test items come in blocks of a bounded number of words, each block a query set
-held against all documents. A first pass counts in how many documents each
-word trigram of the block occurs; an item's rarest trigrams are its seeds
-(rarest among its own, so an item that leaked into a third of the corpus keeps
-its seeds). A second pass finds the seeds in every text, gathers those of one
-item that lie near one diagonal, and aligns the item with the text around them:
-a local alignment of words scores exact, edited and partly paraphrased copies
-alike, as a share of the item's own score. Texts are never moved; a task holds
-one block's tables and one text.
+held against all documents. Seeds are word trigrams, bigrams, and pairs with a
+word between them. A first pass counts in how many documents each stands; an
+item keeps its rarest ones among those that stand anywhere (rarest among its
+own, so an item that leaked into a third of the corpus keeps its seeds). A
+second pass finds the seeds in every text. One seed is enough: the words around
+it, as far as a passage over the threshold can reach, are aligned with the item
+if they hold as many of its words as such a passage must. Local alignment of
+words scores exact, edited and partly paraphrased copies alike, as a share of
+the item's own score. Texts are never moved; a task holds one block's tables
+and one text.
+
+What is found: every passage at the threshold that holds one of its item's
+kept seeds. Recall against full alignment of every text with every item is
+tested in tests/llm/test_decontamination.py for random and evenly spaced edits.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -21,15 +28,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import staged, table
+from graphloom.llm.common import arrow_rows, staged, table
 
-N = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Words of items per block; a block's tables are some tens of bytes per word.
+#: Words of items per block; a block's tables are some hundreds of bytes per word.
 BLOCK_WORDS = 200_000
-#: How far, in words, edits may shift an aligned passage for each item word.
-SLACK = 0.5
-_WORDS = re.compile(r"[^\W_]+")
+#: Seeds: the words after the first that belong to one, by kind.
+SEEDS = ((1, 2), (1,), (2,))
+#: An aligned window is at most so many times as long as its item; longer ones are cut, overlapping by the reach of a passage.
+WINDOW = 12
+#: Bytes of windows whose alignments a task remembers.
+MEMO_BYTES = 8 << 20
+#: A word: a run of letters and digits, or one character of a script without spaces.
+_WORDS = re.compile(r"[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]|[^\W_\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]+")
 HITS = "doc_id long, item_id long, score double, start long, end long"
 
 
@@ -38,24 +49,37 @@ def words_of(text: str) -> list[str]:
 
 
 class Block:
-    """One block of test items: word numbers, trigrams, and where each trigram stands."""
+    """One block of test items: word numbers, seeds, and where each seed stands."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.vocab: dict[str, int] = {}
         number = lambda w: self.vocab.setdefault(w, len(self.vocab) + 1)
         self.items = [(i, np.array([number(w) for w in words_of(t)], np.int64)) for i, t in items]
-        self.items = [(i, w) for i, w in self.items if len(w) >= N]
+        self.items = [(i, w) for i, w in self.items if len(w)]
         self.base = len(self.vocab) + 1
-        places = [(c, k, p) for k, (_, w) in enumerate(self.items) for p, c in enumerate(self.codes(w).tolist())]
-        self.seeds = np.array(sorted({c for c, _, _ in places}), np.int64)
-        at = {c: i for i, c in enumerate(self.seeds.tolist())}
-        self.places: list[list[tuple[int, int]]] = [[] for _ in at]
-        for c, k, p in places:
-            self.places[at[c]].append((k, p))
-
-    def codes(self, words: np.ndarray) -> np.ndarray:
-        """A number per trigram."""
-        return (words[:-2] * self.base + words[1:-1]) * self.base + words[2:]
+        places = [(c, k, p) for k, (_, w) in enumerate(self.items) for q, codes in self.codes(w) for c, p in zip(codes.tolist(), q.tolist(), strict=True)]
+        # a single word is its own seed
+        places += [(-int(w[0]), k, 0) for k, (_, w) in enumerate(self.items) if len(w) == 1]
+        self._index(places)
+
+    def _index(self, places: list[tuple[int, int, int]]) -> None:
+        places.sort()
+        codes = np.array([c for c, _, _ in places], np.int64)
+        self.seeds, first = np.unique(codes, return_index=True)
+        self.first = np.append(first, len(places))
+        self.item, self.at = np.array([k for _, k, _ in places], np.int64), np.array([p for _, _, p in places], np.int64)
+
+    def codes(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each kind of seed (positions, numbers) where all its words are known."""
+        for kind, offsets in enumerate(SEEDS):
+            n = len(words) - offsets[-1]
+            if n > 0:
+                parts = [words[:n], *[words[o : o + n] for o in offsets]]
+                code, known = np.zeros(n, np.int64), np.ones(n, bool)
+                for w in parts:
+                    code, known = code * self.base + w, known & (w > 0)
+                pos = np.flatnonzero(known)
+                yield pos, code[pos] * len(SEEDS) + kind
 
     def numbers(self, text: str) -> np.ndarray:
         get = self.vocab.get
@@ -63,27 +87,32 @@ class Block:
 
     def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(positions, seed numbers) of the seeds in a text's word numbers."""
-        if len(words) < N or not len(self.seeds):
+        if not len(words) or not len(self.seeds):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        found = list(self.codes(words))
+        if self.seeds[0] < 0:
+            one = np.flatnonzero(words)
+            found.append((one, -words[one]))
+        if not found:
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        codes = self.codes(words)
-        pos = np.flatnonzero(words[: len(codes)])
-        seed = np.searchsorted(self.seeds, codes[pos])
+        pos, codes = np.concatenate([p for p, _ in found]), np.concatenate([c for _, c in found])
+        seed = np.searchsorted(self.seeds, codes)
         seed[seed == len(self.seeds)] = 0
-        ok = self.seeds[seed] == codes[pos]
+        ok = self.seeds[seed] == codes
         return pos[ok], seed[ok]
 
     def keep_rare(self, seen: np.ndarray, share: float) -> None:
-        """Leave each item the rarest ``share`` of its places (four at least); ``seen`` has documents per seed."""
-        own: list[list[tuple[int, int, int]]] = [[] for _ in self.items]
-        for s, places in enumerate(self.places):
-            for k, p in places:
-                own[k].append((int(seen[s]), p, s))
-        kept: set[tuple[int, int, int]] = set()
-        for k, all_of in enumerate(own):
-            kept.update((s, k, p) for _, p, s in sorted(all_of)[: max(4, round(share * len(all_of)))])
-        self.places = [[(k, p) for k, p in places if (s, k, p) in kept] for s, places in enumerate(self.places)]
-        some = [i for i, p in enumerate(self.places) if p]
-        self.seeds, self.places = self.seeds[some], [self.places[i] for i in some]
+        """Leave each item the rarest ``share`` of the places of each kind of seed (four at least, and those as rare as the last), of those in any document; ``seen`` has documents per seed."""
+        own: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+        for s, code in enumerate(self.seeds.tolist()):
+            for j in range(self.first[s], self.first[s + 1]) if seen[s] else ():
+                own.setdefault((int(self.item[j]), code % len(SEEDS) if code > 0 else -1), []).append((int(seen[s]), s, j))
+        kept = []
+        for found in own.values():
+            found.sort()
+            last = found[min(len(found), max(4, math.ceil(share * len(found)))) - 1][0]
+            kept += [(int(self.seeds[s]), int(self.item[j]), int(self.at[j])) for n, s, j in found if n <= last]
+        self._index(kept)
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -114,38 +143,58 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return score, end - back, end
 
 
-def passages(block: Block, text: str, memo: dict) -> Iterator[tuple[int, float, int, int]]:
-    """(item number, score, first word, end word) of the best alignment of each seeded item in a text."""
+def _windows(starts: np.ndarray, size: int, reach: int, end: int) -> Iterator[tuple[int, int]]:
+    """The text around seeds, ``starts`` being where their item would begin: unions of windows, cut to WINDOW items with an overlap of a passage's reach."""
+    a, longest = None, WINDOW * size
+    for at in starts.tolist():
+        lo, hi = max(0, at - reach), min(end, at + size + reach)
+        if a is None:
+            a, b = lo, hi
+        elif lo <= b and hi - a <= longest:
+            b = max(b, hi)
+        else:
+            yield a, b
+            # a passage that this seed belongs to lies within its own reach
+            a, b = lo, hi
+    if a is not None:
+        yield a, b
+
+
+def passages(block: Block, text: str, memo: dict, threshold: float) -> Iterator[tuple[int, float, int, int]]:
+    """(item number, score, first word, end word) of the best alignment of each seeded item in a text, at the threshold or more.
+
+    A passage that scores a share t of an item of n words matches t n of its
+    words at least, and gaps cost it at most 2 n (1 - t) words.
+    """
     words = block.numbers(text)
     pos, seed = block.hits(words)
-    spots: dict[int, list[tuple[int, int]]] = {}
-    for p, s in zip(pos.tolist(), seed.tolist(), strict=True):
-        for k, q in block.places[s]:
-            spots.setdefault(k, []).append((p - q, p))
-    for k, found in spots.items():
+    if not len(pos):
+        return
+    many = block.first[seed + 1] - block.first[seed]
+    j = np.repeat(block.first[seed], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    item_no, diag = block.item[j], np.repeat(pos, many) - block.at[j]
+    order = np.lexsort((diag, item_no))
+    item_no, diag = item_no[order], diag[order]
+    cuts = [0, *(np.flatnonzero(np.diff(item_no)) + 1).tolist(), len(item_no)]
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        k = int(item_no[lo])
         item = block.items[k][1]
-        slack = int(SLACK * len(item)) + 2
-        if len(found) < 2 and len(item) >= 8:
-            continue
-        found.sort()
+        least, reach = threshold * len(item), math.ceil(2 * len(item) * (1 - threshold)) + 1
+        own = np.zeros(block.base, bool)
+        own[item] = True
         best = (0, 0, 0)
-        group = [found[0][0]]
-        for diag in [d for d, _ in found[1:]] + [None]:
-            if diag is not None and diag - group[-1] <= slack:
-                group.append(diag)
+        for a, b in _windows(np.unique(diag[lo:hi]), len(item), reach, len(words)):
+            window = words[a:b]
+            if np.count_nonzero(own[window]) < least:
                 continue
-            if len(group) >= 2 or len(item) < 8:
-                # long runs of near diagonals are cut by the item's reach, so a window stays a few items long
-                a, b = max(0, group[0] - slack), group[-1] + len(item) + slack
-                window = words[a:b]
-                key = (k, window.tobytes())
-                if (got := memo.get(key)) is None:
-                    if len(memo) > 20_000:
-                        memo.clear()
-                    got = memo[key] = align(item, window)
-                best = max(best, (got[0], a + got[1], a + got[2]))
-            group = [diag]
-        if best[0]:
+            key = (k, window.tobytes())
+            if (got := memo.get(key)) is None:
+                memo["bytes"] = memo.get("bytes", 0) + len(key[1]) + 200
+                if memo["bytes"] > MEMO_BYTES:
+                    memo.clear()
+                got = memo[key] = align(item, window)
+            best = max(best, (got[0], a + got[1], a + got[2]))
+        if best[0] >= threshold * MATCH * len(item):
             yield k, best[0] / (MATCH * len(item)), best[1], best[2]
 
 
@@ -170,7 +219,7 @@ def blocks_of(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[
     items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text")
     for r in items.toLocalIterator():
         out.append((r["item_id"], r["text"]))
-        size += r["text"].count(" ") + 1
+        size += len(words_of(r["text"]))
         if size >= block_words:
             yield out
             out, size = [], 0
@@ -183,7 +232,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
 
     ``score`` is the alignment's score over that of the item with itself, at
     least ``threshold``; start and end are code points of the text. Null and
-    empty texts hold nothing; items under three words name no passage; equal
+    empty texts hold nothing, items without a word name no passage; equal
     rows give equal hits; without documents or items there are none; other
     columns are ignored.
     """
@@ -207,8 +256,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(seen[some], pa.int64())], names=["seed", "n"])
 
         seen = np.zeros(len(block.seeds), np.int64)
-        for r in rows.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect():
-            seen[r["seed"]] = r["n"]
+        with arrow_rows(spark, 1000):
+            for r in rows.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect():
+                seen[r["seed"]] = r["n"]
         block.keep_rare(seen, rare)
         seeded = spark.sparkContext.broadcast(block)
 
@@ -219,10 +269,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     if text.is_valid:
                         text = text.as_py()
-                        hits += [(doc_id, block.items[k][0], score, *_spans(text, a, b)) for k, score, a, b in passages(block, text, memo) if score >= threshold]
+                        hits += [(doc_id, block.items[k][0], score, *_spans(text, a, b)) for k, score, a, b in passages(block, text, memo, threshold)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*hits) if hits else [[]] * 5, [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()], strict=True)], names=["doc_id", "item_id", "score", "start", "end"])
 
-        found = staged(rows.mapInArrow(search, HITS), "contaminated")
+        with arrow_rows(spark, 1000):
+            found = staged(rows.mapInArrow(search, HITS), "contaminated")
+        everywhere.destroy()
+        seeded.destroy()
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], HITS) if out is None else out
 
