@@ -37,6 +37,8 @@ BLOCK_WORDS = 200_000
 SEEDS = ((1, 2), (1,), (2,))
 #: An aligned window is at most so many times as long as its item; longer ones are cut, overlapping by the reach of a passage.
 WINDOW = 12
+#: Items whose word tables a task keeps at once.
+OWN_ITEMS = 16
 #: Bytes of windows whose alignments a task remembers.
 MEMO_BYTES = 8 << 20
 #: A word: a run of letters and digits, or one character of a script without spaces.
@@ -53,6 +55,7 @@ class Block:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.vocab: dict[str, int] = {}
+        self.kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         number = lambda w: self.vocab.setdefault(w, len(self.vocab) + 1)
         self.items = [(i, np.array([number(w) for w in words_of(t)], np.int64)) for i, t in items]
         self.items = [(i, w) for i, w in self.items if len(w)]
@@ -69,6 +72,17 @@ class Block:
         self.first = np.append(first, len(places))
         self.item, self.at = np.array([k for _, k, _ in places], np.int64), np.array([p for _, _, p in places], np.int64)
 
+    def own(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(for every word its number among item ``k``'s own, others being 0; how often the item has each); of the last items asked for."""
+        if (got := self.kept.get(k)) is None:
+            if len(self.kept) >= OWN_ITEMS:
+                self.kept.clear()
+            words, counts = np.unique(self.items[k][1], return_counts=True)
+            local = np.zeros(self.base, np.int32)
+            local[words] = np.arange(1, len(words) + 1)
+            got = self.kept[k] = local, np.append(0, counts)
+        return got
+
     def codes(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each kind of seed (positions, numbers) where all its words are known."""
         for kind, offsets in enumerate(SEEDS):
@@ -180,12 +194,12 @@ def passages(block: Block, text: str, memo: dict, threshold: float) -> Iterator[
         k = int(item_no[lo])
         item = block.items[k][1]
         least, reach = threshold * len(item), math.ceil(2 * len(item) * (1 - threshold)) + 1
-        own = np.zeros(block.base, bool)
-        own[item] = True
+        local, own = block.own(k)
         best = (0, 0, 0)
         for a, b in _windows(np.unique(diag[lo:hi]), len(item), reach, len(words)):
             window = words[a:b]
-            if np.count_nonzero(own[window]) < least:
+            # words in common, each as often as the item has it at most
+            if np.minimum(np.bincount(local[window], minlength=len(own)), own).sum() < least:
                 continue
             key = (k, window.tobytes())
             if (got := memo.get(key)) is None:
