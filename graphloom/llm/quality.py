@@ -1,15 +1,21 @@
 """Quality rules with risk-controlled thresholds.
 
-Fixed base rules reject outright. Beyond them, cutoffs on text features are
-selected per stratum (language) from labelled documents: a cutoff may reject
-only if an exact binomial (Clopper-Pearson) bound shows that it falsely
-rejects at most a share ``risk`` of good documents, at a confidence that
-holds over all cutoffs, features and strata tested together (Bonferroni).
-The labels are split by a hash of doc_id: one half proposes a cutoff per
-feature and stratum, the other, untouched by that choice, certifies it.
+Fixed base rules reject outright. Beyond them, a stratum (language) has a rule
+set: cutoffs on text features, any of which rejects. A set may reject only if
+an exact binomial (Clopper-Pearson) bound shows that it falsely rejects at
+most a share ``risk`` of the stratum's good documents, all its cutoffs taken
+together, at a confidence that holds over all strata (Bonferroni); within a
+stratum the sets tested grow by one cutoff at a time in a fixed order and the
+first that fails ends the tests, which needs no further correction.
+
+Labelled texts are split by a hash of the text, so that copies are one draw
+and lie on one side: a third proposes the cutoffs and their order, the rest,
+untouched by that choice, certifies. Strata too small for any certificate are
+pooled, and if the pool is too small as well, all strata are one; the bound
+then holds for the pool as a whole.
 
 Everything per document is one projection over JVM functions; what reaches
-the driver is a histogram of labelled documents by stratum, feature and bin.
+the driver is a histogram of labelled texts by stratum, feature and bin.
 """
 
 from __future__ import annotations
@@ -26,6 +32,8 @@ from graphloom.llm.common import WS, staged, table
 BINS = 50
 #: Features that a cutoff may reject: at this value or above.
 FEATURES = ("f_symbols", "f_dup_lines", "f_repeats", "f_long_words", "f_short_words", "f_few_marks")
+#: One in so many labelled texts proposes cutoffs; the others certify them.
+PROPOSE = 3
 #: Languages; all others, and null, form one more stratum.
 STRATA = ("de", "en", "es", "fr")
 WINDOW = 5
@@ -37,13 +45,13 @@ def words_of(text: Column) -> Column:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, lang and the features of every whole text: the counts of the contract and the scaled features of the cutoffs."""
+    """doc_id, lang, th (hash of the text) and the features of every whole text: the counts of the contract and the scaled features of the cutoffs."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select(F.col("doc_id"), F.col("lang").alias("lang"), text.alias("__gl_t"), words_of(text).alias("__gl_w"))
-    return _measured(base)
+    base = docs.select(F.col("doc_id"), F.col("lang").alias("lang"), F.xxhash64(text).alias("th"), text.alias("__gl_t"), words_of(text).alias("__gl_w"))
+    return _measured(base, ("doc_id", "lang", "th"))
 
 
-def _measured(base: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
+def _measured(base: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """Adds the features. Repeated words: a sort by window hash brings equal
     windows together; the positions of those with an equal neighbour, sorted,
     cover five words each, less the overlap with the next.
@@ -127,45 +135,95 @@ def _incomplete_beta(a: float, b: float, x: float) -> float:
     return front * f
 
 
-def thresholds(measured: DataFrame, labels: DataFrame, risk: float = 0.01, delta: float = 0.05, gain: float = 0.9) -> dict[tuple[str, str], float]:
-    """Certified cutoffs: (stratum, feature) to the smallest rejected value.
+def labelled(measured: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labelled distinct texts that pass the base rules, by stratum: s, th, q (1 good, 0 bad), proposing, and the features' bins.
 
     ``labels`` has doc_id and quality (1 good, 0 bad; other values and nulls
-    are left out; a doc_id labelled twice counts twice). On the proposing half
-    the cutoff is the lowest whose false-rejection share stays under
-    ``risk`` / 2 while at least a share ``gain`` of what it rejects is bad; on
-    the certifying half its exact bound at ``delta`` over the number of
-    cutoffs tested must not exceed ``risk``.
+    are left out); a text is good if any of its labels says so.
     """
     known = labels.filter("doc_id is not null and quality in (0, 1)").select(F.col("doc_id"), F.col("quality").alias("__gl_q"))
-    rows = measured.filter("not base_failed").join(known, "doc_id").select(
-        stratum(F.col("lang")).alias("s"), F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half"), F.col("__gl_q").alias("q"),
-        F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.floor(F.col(f) * BINS).cast("int").alias("b")) for f in FEATURES])).alias("x"),
-    )
+    bins = [F.floor(F.col(f) * BINS).cast("int").alias(f) for f in FEATURES]
+    rows = measured.filter("not base_failed").select("doc_id", "th", stratum(F.col("lang")).alias("s"), *bins).join(known, "doc_id")
+    return rows.groupBy("s", "th").agg(F.max("__gl_q").alias("q"), *[F.max(f).alias(f) for f in FEATURES]).withColumn("proposing", F.pmod("th", F.lit(PROPOSE)) == 0)
+
+
+def pools(good: dict[str, int], risk: float, delta: float) -> dict[str, list[str]]:
+    """Strata by the pool they are tested in, from their numbers of certifying good texts.
+
+    A stratum stands alone if it could certify a set without any false
+    rejection at the level that as many pools as strata leave; the others are
+    pooled ("pooled"); if these can't either, all strata are one ("all").
+    """
+    able = lambda n, k: n and binomial_upper(0, n, delta / max(1, k)) <= risk
+    alone = [s for s in sorted(good) if able(good[s], len(good))]
+    rest = [s for s in sorted(good) if s not in alone]
+    if rest and not able(sum(good[s] for s in rest), len(alone) + 1):
+        return {"all": sorted(good)}
+    return {**{s: [s] for s in alone}, **({"pooled": rest} if rest else {})}
+
+
+def thresholds(measured: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05, gain: float = 0.9) -> dict[str, dict[str, int]]:
+    """Certified rule sets: stratum to feature to the smallest rejected bin; strata without a certified cutoff have an empty set.
+
+    On the proposing part a feature's cutoff is the lowest bin whose false
+    rejections stay under ``risk`` / 2 while at least a share ``gain`` of what
+    it rejects is bad; cutoffs are ordered by how many bad texts they reject.
+    On the certifying part the exact bound of the union of the first k cutoffs,
+    at ``delta`` over the number of pools, must not exceed ``risk``; the
+    largest k before the first failure holds.
+    """
+    rows = staged(labelled(measured, labels), "quality-labelled")
+    good = {r["s"]: r["n"] for r in rows.groupBy("s").agg(F.sum(((F.col("q") == 1) & ~F.col("proposing")).cast("long")).alias("n")).collect()}
+    sets = pools(good, risk, delta)
+    pool = F.lit(None).cast("string")
+    for name, members in sets.items():
+        pool = F.when(F.col("s").isin(members), F.lit(name)).otherwise(pool)
+    rows = rows.withColumn("pool", pool)
+    bins = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("b")) for f in FEATURES])).alias("x")
     counts: dict = {}
-    for r in rows.groupBy("s", "half", "q", "x").agg(F.count(F.lit(1)).alias("n")).collect():
-        counts.setdefault((r["s"], r["x"]["f"]), {}).setdefault((r["half"], r["q"]), [0] * (BINS + 1))[r["x"]["b"]] += r["n"]
-    tail = lambda c, half, q, b: sum(c.get((half, q), [0] * (BINS + 1))[b:])
-    proposed = {}
-    for key, c in counts.items():
+    for r in rows.filter("proposing").select("pool", "q", bins).groupBy("pool", "q", "x").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts.setdefault((r["pool"], r["x"]["f"]), {}).setdefault(r["q"], [0] * (BINS + 1))[r["x"]["b"]] += r["n"]
+    tail = lambda c, q, b: sum(c.get(q, ())[b:])
+    proposed: dict[str, list[tuple[int, str, int]]] = {}
+    for (name, f), c in sorted(counts.items()):
         for b in range(1, BINS + 1):
-            good, bad = tail(c, 0, 1, b), tail(c, 0, 0, b)
-            if bad and bad >= gain * (good + bad) and good <= risk / 2 * max(1, tail(c, 0, 1, 0)):
-                proposed[key] = b
+            false, bad = tail(c, 1, b), tail(c, 0, b)
+            if bad and bad >= gain * (false + bad) and false <= risk / 2 * max(1, tail(c, 1, 0)):
+                proposed.setdefault(name, []).append((-bad, f, b))
+                break
+    order = {name: [(f, b) for _, f, b in sorted(found)] for name, found in proposed.items()}
+    # false rejections by the first k cutoffs of a pool's order, in one pass
+    unions = []
+    for k in range(len(FEATURES)):
+        hit = F.lit(False)
+        for name, found in order.items():
+            if k < len(found):
+                hit = hit | ((F.col("pool") == name) & reduce(lambda a, x: a | x, [F.col(f) >= b for f, b in found[: k + 1]]))
+        unions.append(F.sum(hit.cast("long")).alias(f"u{k}"))
+    out: dict[str, dict[str, int]] = {s: {} for s in good}
+    for r in rows.filter("q = 1 and not proposing").groupBy("pool").agg(F.count(F.lit(1)).alias("n"), *unions).collect():
+        for k, (f, b) in enumerate(order.get(r["pool"], [])):
+            if binomial_upper(r[f"u{k}"], r["n"], delta / len(sets)) > risk:
                 break
-    each = delta / max(1, len(proposed))
-    return {key: b / BINS for key, b in sorted(proposed.items()) if binomial_upper(tail(counts[key], 1, 1, b), tail(counts[key], 1, 1, 0), each) <= risk}
+            for s in sets[r["pool"]]:
+                out[s][f] = b
+    return out
 
 
-def rejects(cutoffs: dict[tuple[str, str], float]) -> Column:
-    """True where a certified cutoff of the row's stratum is reached; a feature's bin decides, as in the histograms."""
+def rejects(cutoffs: dict[str, dict[str, int]]) -> Column:
+    """True where a certified cutoff of the row's stratum is reached."""
     s = stratum(F.col("lang"))
-    hits = [(s == k) & (F.floor(F.col(f) * BINS) >= round(cut * BINS)) for (k, f), cut in cutoffs.items()]
+    hits = [(s == k) & (F.floor(F.col(f) * BINS) >= b) for k, found in cutoffs.items() for f, b in found.items()]
     return reduce(lambda a, b: a | b, hits, F.lit(False))
 
 
-def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.01, delta: float = 0.05) -> DataFrame:
-    """One row per row of ``docs``: doc_id, the counts, base_failed, kept.
+def certified(cutoffs: dict[str, dict[str, int]]) -> Column:
+    """Whether the row's stratum has a certified rule set."""
+    return stratum(F.col("lang")).isin([s for s, found in cutoffs.items() if found])
+
+
+def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05) -> DataFrame:
+    """One row per row of ``docs``: doc_id, the counts, base_failed, kept, certified (whether a certified rule set judged it beside the base rules).
 
     Null text counts as no words and fails; null or unknown languages share a
     stratum; equal rows get equal verdicts; without labels only the base rules
@@ -175,11 +233,11 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.01, delta: float =
     cutoffs = thresholds(measured, labels, risk, delta)
     return measured.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & ~rejects(cutoffs)).alias("kept"),
+        (~F.col("base_failed") & ~rejects(cutoffs)).alias("kept"), certified(cutoffs).alias("certified"),
     )
 
 
-def filter_documents(docs: DataFrame, labels: DataFrame, risk: float = 0.01, delta: float = 0.05) -> DataFrame:
+def filter_documents(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns.
 
     Rows are written once beside their measures, and both the cutoffs and the
@@ -188,8 +246,8 @@ def filter_documents(docs: DataFrame, labels: DataFrame, risk: float = 0.01, del
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__gl_row")
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select(row, F.col("doc_id"), F.col("lang"), text.alias("__gl_t"), words_of(text).alias("__gl_w"))
-    measured = staged(_measured(base, ("__gl_row", "doc_id", "lang")).select("__gl_row", "doc_id", "lang", "base_failed", *FEATURES), "quality-rows")
+    base = docs.select(row, F.col("doc_id"), F.col("lang"), F.xxhash64(text).alias("th"), text.alias("__gl_t"), words_of(text).alias("__gl_w"))
+    measured = staged(_measured(base, ("__gl_row", "doc_id", "lang", "th")).select("__gl_row", "doc_id", "lang", "th", "base_failed", *FEATURES), "quality-rows")
     cutoffs = thresholds(measured, labels, risk, delta)
     return measured.filter(~F.col("base_failed") & ~rejects(cutoffs)).select("__gl_row.*")
 

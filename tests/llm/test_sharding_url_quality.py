@@ -159,12 +159,104 @@ def test_binomial_bound_is_exact():
         assert abs(sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)) - delta) < 1e-6
 
 
+def brute_features(t):
+    n, chars, symbols, dup, covered, failed = brute_quality(t)
+    marks = sum(c in ".,;:?!" for c in t or "")
+    lines = sum(bool(re.search(r"[^\x20\x09-\x0d]", x)) for x in (t or "").split("\n"))
+    w, c = max(n, 1), max(chars, 1)
+    values = (symbols / c * 5, dup / max(lines, 1), covered / w, (c / w - 3) / 12, (8 - c / w) / 8, 1 - marks / w * 4)
+    return failed, [int(min(max(v, 0.0), 1.0) * quality.BINS) for v in values]
+
+
+def exact_upper(k, n, delta):
+    """Clopper-Pearson by summing the binomial distribution in rationals of floats."""
+    from math import comb
+
+    lo, hi = 0.0, 1.0
+    for _ in range(50):
+        p = (lo + hi) / 2
+        tail = sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+        lo, hi = (p, hi) if tail > delta else (lo, p)
+    return hi
+
+
+def brute_kept(rows, labels, hashes, risk=0.02, delta=0.05, gain=0.9):
+    """(kept, certified) by doc_id, straight from the definition."""
+    lang = lambda x: x if x in quality.STRATA else "other"
+    feats = {i: brute_features(t) for i, t, _ in rows}
+    texts = {}
+    for i, _, g in rows:
+        for q in labels.get(i, ()):
+            if not feats[i][0]:
+                old = texts.get((lang(g), hashes[i]))
+                texts[lang(g), hashes[i]] = (max(q, old[0]) if old else q, feats[i][1])
+    part = lambda keep: [(s, q, f) for (s, h), (q, f) in texts.items() if (h % quality.PROPOSE == 0) == keep]
+    first, second = part(True), part(False)
+    strata = sorted({s for s, _ in texts})
+    good = {s: sum(1 for t, q, _ in second if t == s and q) for s in strata}
+    can = lambda n, k: n and (1 - (delta / k) ** (1 / n)) <= risk
+    alone = [s for s in strata if can(good[s], len(strata))]
+    rest = [s for s in strata if s not in alone]
+    sets = [[s] for s in alone] + ([rest] if rest else [])
+    if rest and not can(sum(good[s] for s in rest), len(alone) + 1):
+        sets = [strata]
+    rules = {s: [] for s in strata}
+    for members in sets:
+        mine = [(q, f) for s, q, f in first if s in members]
+        proposed = []
+        for j, name in enumerate(quality.FEATURES):
+            for b in range(1, quality.BINS + 1):
+                false, bad = (sum(1 for q, f in mine if q == x and f[j] >= b) for x in (1, 0))
+                if bad and bad >= gain * (false + bad) and false <= risk / 2 * max(1, sum(q for q, _ in mine)):
+                    proposed.append((-bad, name, j, b))
+                    break
+        held = [f for s, q, f in second if s in members and q]
+        for k, (_, _, j, b) in enumerate(sorted(proposed)):
+            union = sum(any(f[i] >= c for _, _, i, c in sorted(proposed)[: k + 1]) for f in held)
+            if not held or exact_upper(union, len(held), delta / len(sets)) > risk:
+                break
+            for s in members:
+                rules[s].append((j, b))
+    return {i: (not feats[i][0] and not any(feats[i][1][j] >= b for j, b in rules.get(lang(g), ())), bool(rules.get(lang(g)))) for i, _, g in rows}
+
+
+def test_kept_against_brute_force(spark):
+    """On tables large enough for certificates: each verdict of the method."""
+    d = "/root/testdata/sf0.01"
+    from pyspark.sql import functions as F
+
+    frame = spark.read.parquet(f"{d}/documents.parquet")
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in frame.collect()]
+    hashes = {r["doc_id"]: r["h"] for r in frame.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    labels = collections.defaultdict(list)
+    for r in spark.read.parquet(f"{d}/labels.parquet").filter("quality in (0, 1)").collect():
+        labels[r["doc_id"]].append(r["quality"])
+    want = brute_kept(rows, labels, hashes)
+    got = {r["doc_id"]: (r["kept"], r["certified"]) for r in quality.query(spark, d).collect()}
+    assert got == want
+    assert any(c for _, c in got.values())
+
+
+def test_pools():
+    assert quality.pools({"en": 2000, "de": 900, "fr": 100, "es": 200}, 0.02, 0.05) == {"de": ["de"], "en": ["en"], "pooled": ["es", "fr"]}
+    assert quality.pools({"en": 2000, "fr": 10}, 0.02, 0.05) == {"all": ["en", "fr"]}
+    assert quality.pools({}, 0.02, 0.05) == {}
+
+
 def test_cutoffs_hold_the_risk(spark):
     """Bad texts with many symbols are cut; good ones of a language without bad ones are left alone."""
-    good = [" ".join(f"w{(i * 7 + k) % 97}{k}" for k in range(30)) for i in range(1200)]
-    bad = [" ".join(f"w{(i * 5 + k) % 89}{k}###" for k in range(30)) for i in range(200)]
+    good = [" ".join(f"w{(i * 7 + k) % 97}{k}" for k in range(30)) + f" n{i}" for i in range(1200)]
+    bad = [" ".join(f"w{(i * 5 + k) % 89}{k}###" for k in range(30)) + f" n{i}" for i in range(200)]
     frame = docs(spark, good + bad)
     labels = spark.createDataFrame([(i, int(i < 1200), 0) for i in range(1400)], "doc_id long, quality int, toxic int")
     rows = quality.judge(frame, labels).collect()
     assert all(r["kept"] for r in rows if r["doc_id"] < 1200)
     assert not any(r["kept"] for r in rows if r["doc_id"] >= 1200)
+
+
+def test_copies_are_one_draw(spark):
+    """1200 labels on 97 different good texts are too few to certify anything."""
+    good = [" ".join(f"w{(i * 7 + k) % 97}{k}" for k in range(30)) for i in range(1200)]
+    bad = [" ".join(f"w{(i * 5 + k) % 89}{k}###" for k in range(30)) for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i < 1200), 0) for i in range(1400)], "doc_id long, quality int, toxic int")
+    assert all(r["kept"] and not r["certified"] for r in quality.judge(docs(spark, good + bad), labels).collect())
