@@ -6,12 +6,16 @@ stands in toxic and in other documents, so copies of a text count once. A word
 enters the lexicon when the odds that it is an insult, from a small prior odds
 and how far its contexts are toxic beyond the base rate, exceed one.
 
-A clause is read by a cascade of transducers, each passing its output to the
-next: insult and threat label words, negation marks what stands in its scope,
-reported speech what follows a verb of saying, target whether someone is
-addressed. What the composed machine emits is counted per document, and a
-logistic model, fitted to a bounded sample of labelled documents with a pull
-towards the grammar's own weights, turns the counts into a score.
+Five transducers, each a table of transitions (state, symbol) -> (state,
+symbol), are composed into one machine: INSULT keeps a word of the lexicon
+apart from others, THREAT makes a verb of harm a threat where an intent came
+before it, NEGATION turns symbols in its scope into negated ones, REPORTED
+those after a verb of saying into reported ones, TARGET raises an insult or
+threat that meets a second person or a named group in its clause. The machine
+reads a clause's word classes; what it emits, weighted by the lexicon, is
+counted per document. A logistic model, fitted to a bounded sample of labelled
+documents with a pull towards the grammar's own weights, turns the counts into
+a score.
 """
 
 from __future__ import annotations
@@ -31,93 +35,121 @@ from graphloom.llm.common import staged, table
 #: Word lists of the grammar: fixed values, in English, German, French and Spanish.
 NEGATIONS = frozenset("not never no isn't aren't nicht kein keine nie niemals pas jamais ni nunca jamás".split())
 REPORTS = frozenset("said says claimed claims called calls quoted wrote sagte sagt nannte dit disait appelé dijo dice llamó".split())
-TARGETS = frozenset("you your you're he she they him her them du dich dein ihr sie tu toi vous ton tú usted ustedes".split())
+INTENTS = frozenset("will shall gonna going want wanna should i'll we'll werde werden will wollen sollte vais vas va allons voy vas vamos quiero".split())
+PERSONS = frozenset("you your you're yourself du dich dir dein deine ihr euch tu toi te vous ton ta votre tú ti usted ustedes tu".split())
+GROUPS = frozenset("they them people women men immigrants foreigners sie leute frauen ausländer ils elles gens femmes étrangers ellos ellas gente mujeres extranjeros".split())
 THREATS = frozenset("kill hurt destroy burn stab shoot beat murder töten umbringen schlagen tuer frapper matar golpear".split())
-#: Words for which a negation holds.
-SCOPE = 3
-FEATURES = ("plain", "negated", "reported", "targeted", "threat")
+#: Words for which a negation, and an intent, holds.
+SCOPE, INTENT_SCOPE = 3, 4
+
+#: Word classes: Insult, verb of Harm, Negation, verb of saying (R), inteNt to act (W), second Person, Group, and other (O).
+CLASSES = "IHNRWPGO"
+#: What the whole machine emits, with the feature it counts for: insults plain, negated, reported or at a target; threats the same.
+EMITS = {"I": "plain", "I-": "negated", "Ir": "reported", "It": "targeted", "H+": "threat", "H-": "negated", "Hr": "reported", "Ht": "aimed", "+I": "targeted", "+H": "aimed"}
+FEATURES = ("plain", "negated", "reported", "targeted", "threat", "aimed")
 #: The grammar's own weights, towards which the fit is pulled: bias, then FEATURES.
-PRIOR = np.array([-3.0, 4.0, 1.5, 2.0, 1.0, 2.0])
+PRIOR = np.array([-3.0, 4.0, 1.5, 2.0, 5.0, 1.0, 4.0])
 _WORDS = re.compile(r"[\w']+")
 _CLAUSE = re.compile(r"[.!?;:\n]+")
 
+#: A transducer: state -> symbol -> (state, symbol). What is not listed keeps the state and passes through. State 0 is the start.
+Transducer = dict[int, dict[str, tuple[int, str]]]
 
-class Insult:
-    """Labels words of the lexicon I, with their weight, and threat verbs H."""
 
-    def __init__(self, lexicon: dict[str, float]):
-        self.lexicon = lexicon
+def _insult() -> Transducer:
+    """One state: the lexicon decides (see ``classes``), the symbol passes."""
+    return {0: {}}
 
-    def step(self, state, word):
-        if (w := self.lexicon.get(word)) is not None:
-            return state, ("I", w)
-        return state, ("H" if word in THREATS else "N" if word in NEGATIONS else "R" if word in REPORTS else "T" if word in TARGETS else "O", 1.0)
 
-    start = None
+def _threat() -> Transducer:
+    """States: words left in the scope of an intent. A verb of harm within it is a threat, else an ordinary word."""
+    table: Transducer = {}
+    for left in range(INTENT_SCOPE + 1):
+        nxt = max(0, left - 1)
+        table[left] = {c: (nxt, c) for c in CLASSES} | {"W": (INTENT_SCOPE, "O"), "H": (nxt, "H+" if left else "O")}
+    return table
 
 
-class Negation:
-    """States: words left in scope. A label in scope becomes its negated form."""
+def _negation() -> Transducer:
+    """States: words left in the scope of a negation."""
+    table: Transducer = {}
+    for left in range(SCOPE + 1):
+        nxt = max(0, left - 1)
+        table[left] = {c: (nxt, c) for c in (*CLASSES, "H+")} | {"N": (SCOPE, "O")}
+        if left:
+            table[left] |= {"I": (nxt, "I-"), "H+": (nxt, "H-")}
+    return table
 
-    start = 0
 
-    def step(self, state, symbol):
-        label, w = symbol
-        if label == "N":
-            return SCOPE, symbol
-        return max(0, state - 1), ((label + "-", w) if state and label in "IH" else symbol)
+def _reported() -> Transducer:
+    """States: whether a verb of saying came before."""
+    return {0: {"R": (1, "O")}, 1: {"R": (1, "O"), "I": (1, "Ir"), "H+": (1, "Hr"), "I-": (1, "Ir"), "H-": (1, "Hr")}}
 
 
-class Reported:
-    """States: whether a verb of saying came before. After it, labels become reported."""
+def _target() -> Transducer:
+    """States: 0 nobody, 1 a target named; 2 an insult, 3 a threat that waits for its target, which then emits its raise (+I, +H)."""
+    named = {"I": (1, "It"), "H+": (1, "Ht"), "P": (1, "O"), "G": (1, "O")}
+    waits = lambda raised: {"I": (2, "I"), "H+": (3, "H+"), "P": (1, raised), "G": (1, raised)}
+    return {0: waits("O"), 1: named, 2: waits("+I"), 3: waits("+H") | {"I": (3, "I")}}
 
-    start = False
 
-    def step(self, state, symbol):
-        label, w = symbol
-        return state or label == "R", ((label[0] + "r", w) if state and label[0] in "IH" else symbol)
+CASCADE = (_insult(), _threat(), _negation(), _reported(), _target())
 
 
-class Target:
-    """States: whether someone is addressed in the clause."""
+def compose(cascade: tuple[Transducer, ...] = CASCADE) -> tuple[list[list[int]], list[list[str]]]:
+    """One machine over CLASSES that reads as the cascade does: next state and output by state and class; states are those reachable from the start."""
+    start = (0,) * len(cascade)
+    numbers, todo = {start: 0}, [start]
+    follow, emit = [], []
+    while todo:
+        state = todo.pop(0)
+        nexts, outs = [], []
+        for symbol in CLASSES:
+            new = []
+            for t, s in zip(cascade, state, strict=True):
+                s, symbol = t[s].get(symbol, (s, symbol))
+                new.append(s)
+            key = tuple(new)
+            if key not in numbers:
+                numbers[key] = len(numbers)
+                todo.append(key)
+            nexts.append(numbers[key])
+            outs.append(symbol)
+        follow.append(nexts)
+        emit.append(outs)
+    return follow, emit
 
-    start = False
 
-    def step(self, state, symbol):
-        return state or symbol[0] == "T", symbol
+_FOLLOW, _EMIT = compose()
+#: The feature that an output counts for, or -1.
+_COUNTS = [[FEATURES.index(EMITS[x]) if x in EMITS else -1 for x in row] for row in _EMIT]
+_CLASS_OF = {w: CLASSES.index(c) for c, words in (("G", GROUPS), ("W", INTENTS), ("R", REPORTS), ("P", PERSONS), ("N", NEGATIONS), ("H", THREATS)) for w in words}
+_INSULT, _OTHER = CLASSES.index("I"), CLASSES.index("O")
 
 
 @dataclass
 class Grammar:
-    """The composed cascade and the weights of what it emits."""
+    """The composed machine, the lexicon and the weights of what it emits."""
 
     lexicon: dict[str, float]
     base: float = -3.0
     weights: np.ndarray = field(default_factory=lambda: PRIOR.copy())
 
     def clause(self, words: list[str]) -> np.ndarray:
-        """What the cascade emits for one clause, counted by FEATURES."""
-        cascade = (Insult(self.lexicon), Negation(), Reported(), Target())
-        states, out = [t.start for t in cascade], np.zeros(len(FEATURES))
-        for symbol in words:
-            for i, t in enumerate(cascade):
-                states[i], symbol = t.step(states[i], symbol)
-            label, w = symbol
-            if label == "I":
-                out[0] += w
-            elif label == "I-":
-                out[1] += w
-            elif label == "Ir":
-                out[2] += w
-            elif label == "H":
-                out[4] += w
-        addressed = float(states[3])
-        out[3] = addressed * out[0]
-        out[4] *= addressed  # a verb of harm threatens only someone
+        """What the machine emits for one clause, counted by FEATURES; a raise has the weight of the last insult or threat."""
+        out, state, last = np.zeros(len(FEATURES)), 0, 1.0
+        for word in words:
+            weight = self.lexicon.get(word)
+            c = _INSULT if weight is not None else _CLASS_OF.get(word, _OTHER)
+            if weight is not None:
+                last = weight
+            if (f := _COUNTS[state][c]) >= 0:
+                out[f] += last if f != 4 and f != 5 else 1.0
+            state = _FOLLOW[state][c]
         return out
 
     def features(self, text: str | None) -> np.ndarray | None:
-        """Sums over matched clauses; None where no word of the lexicon or threat stands in the text."""
+        """Sums over matched clauses; None where no word of the lexicon or verb of harm stands in the text."""
         low = (text or "").lower()
         words = _WORDS.findall(low)
         if self.lexicon.keys().isdisjoint(words) and THREATS.isdisjoint(words):
@@ -151,11 +183,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int = 40_000
     return staged(rows.select("doc_id", "text", "toxic"), "toxicity-labelled")
 
 
-def learn_lexicon(train: DataFrame, prior_odds: float = 1e-4, max_words: int = 20_000) -> dict[str, float]:
-    """word -> weight (0 to 1) of the learned insults; ``max_words``, the strongest, bound what the driver holds.
+def learn_lexicon(train: DataFrame, prior_odds: float = 1e-4) -> dict[str, float]:
+    """word -> weight (0 to 1) of the learned insults.
 
     A first pass counts documents per word and leaves words that are toxic
-    more often than not; a second counts the contexts of those alone.
+    more often than not; a second counts the contexts of those alone, and the
+    odds decide. What the driver holds is bounded by the labelled rows
+    (``training_rows``): words that stand in three of them at least.
     """
     n, toxic = train.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     if not n or not toxic or toxic == n:
@@ -163,7 +197,7 @@ def learn_lexicon(train: DataFrame, prior_odds: float = 1e-4, max_words: int = 2
     rate = toxic / n
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{Nd}_']+"), F.lit(0)))
     counted = train.select("toxic", F.explode(words).alias("word")).groupBy("word").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
-    likely = counted.filter("t >= 3 and t >= 0.5 * n").orderBy(F.desc("t"), "word").limit(max_words)
+    likely = counted.filter("t >= 3 and t >= 0.5 * n")
     candidates = train.sparkSession.sparkContext.broadcast(frozenset(r["word"] for r in likely.select("word").collect()))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
