@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from graphloom.llm import bitpack, decontamination, licenses, packing, pii, quality, sharding, simhash, toxicity, url_filter
+from graphloom.llm import bitpack, decontamination, licenses, packing, pii, pipeline, quality, sharding, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -16,7 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_url_filter": url_filter.query,
     "op10_simhash": simhash.query,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 
 #: DuckDB SQL; the other queries are held against brute-force versions in tests/llm.
