@@ -113,7 +113,8 @@ def links(fps: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
     tables = F.explode(F.array(*[F.struct(F.lit(i).alias("tab"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks(radius))]))
     rows = fps.select("fp", tables.alias("t")).select("fp", "t.tab", "t.key")
     sizes = rows.groupBy("tab", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = rows.join(sizes, ["tab", "key"]).withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
+    # the optimizer takes the exploded rows to be as small as the fingerprints they come from, so it must not choose to broadcast them
+    shared = rows.hint("merge").join(sizes, ["tab", "key"]).withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     one = shared.filter("parts = 1").select("tab", "key", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("side"), "fp")
     # each block meets every other once: as the left side of (own, y >= own), as the right side of (x < own, own)
