@@ -5,7 +5,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from graphloom.plans import catalog, more  # noqa: F401
+from graphloom.plans import catalog, more, wider  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

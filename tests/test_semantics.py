@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from graphloom.functions import chunks, similarity, text
+from graphloom.functions import chunks, markdown, similarity, text
 from graphloom.operators import agent, graph, knowledge, retrieval
 from graphloom.sources import tables
 from graphloom.streaming.ingest import stream_merge
@@ -123,13 +123,68 @@ def test_ttl_cache_is_a_fold(spark):
     assert [r["hit"] for r in agent.ttl_cache(df, "key", "ts", "o").orderBy("o").collect()] == [False, True, True, False, True, True, False]
 
 
-def test_chunks_keep_offsets():
-    body = "intro text.\n# One\nFirst sentence. Second one! Third? Fourth.\n## Two\n" + "Many words here. " * 200
-    assert [s[1] for s in chunks.sections(body)] == [[], ["One"], ["One", "Two"]]
-    spans = chunks.sentences(body, *chunks.sections(body)[2][2:])
-    runs = list(chunks.pack(body, spans, 50))
-    assert runs[0][0] == spans[0][0] and runs[-1][1] == spans[-1][1]
-    assert all(chunks.tokens(body[a:b]) <= 50 + 4 for a, b in runs) and all(a2 < b1 for (_, b1), (a2, _) in zip(runs, runs[1:], strict=False))
+def test_sections_by_hand():
+    body = "intro text.\n# One ##\nFirst sentence. Second one!\n### Deep\nx\n## Two\ny\n# End"
+    got = [(h, p, body[a:b]) for h, p, a, b in chunks.sections(body)]
+    assert got == [("", (), "intro text.\n"), ("One", ("One",), "First sentence. Second one!\n"), ("Deep", ("One", "Deep"), "x\n"), ("Two", ("One", "Two"), "y\n"), ("End", ("End",), "")]
+    assert chunks.sections("no heading") == [("", (), 0, 10)] and [s[0] for s in chunks.sections("\n \n# A\nb")] == ["A"]
+
+
+def test_chunks_by_hand():
+    assert [chunks.tokens(t) for t in ("", "a b c", "한국어 text", "a-b_c 1", "、㐀")] == [0, 4, 4, 5, 2]
+    assert chunks.sentences("One. Two!  Three") == [(0, 4), (5, 9), (11, 16)] and chunks.sentences("") == [(0, 0)]
+    body = "# T\n\n  One two. Three four. Five six. \n"
+    whole = list(chunks.chunk(body, "d", 220))
+    assert whole == [("d#s0-0", "T", ["T"], 7, 37, 8, "One two. Three four. Five six.", "One two. Three four. Five six.")]
+    parts = [(c[0], c[6]) for c in chunks.chunk(body, "d", 6)]
+    assert parts == [("d#s0-0", "One two. Three four."), ("d#s0-1", "Three four. Five six.")]
+    assert all(body[c[3] : c[4]] == c[6] for c in chunks.chunk(body, "d", 6))
+
+
+def test_chunks_against_the_greedy_rule():
+    """Sentence by sentence: take the next while the sum stays within the budget, one at least; begin one sentence back, but move on."""
+    rng = random.Random(3)
+    for _ in range(300):
+        text = " ".join(" ".join("w" * rng.randint(1, 3) for _ in range(rng.randint(1, 9))) + rng.choice(".!?") for _ in range(rng.randint(1, 12)))
+        budget, overlap = rng.randint(1, 25), rng.randint(0, 2)
+        want, parts, i = [], chunks.sentences(text), 0
+        if chunks.tokens(text) <= budget:
+            want = [(0, len(text))]
+        else:
+            while True:
+                j, used = i, 0
+                while j < len(parts) and (j == i or used + chunks.tokens(text[slice(*parts[j])]) <= budget):
+                    used += chunks.tokens(text[slice(*parts[j])])
+                    j += 1
+                want.append((parts[i][0], parts[j - 1][1]))
+                if j >= len(parts):
+                    break
+                i = max(j - overlap, i + 1)
+        assert chunks.spans(text, budget, overlap) == want
+
+
+def test_chunks_verify_against_their_documents(spark):
+    rows = [(1, "# A\n" + "One sentence here. " * 60, "v1"), (2, None, "v1"), (None, "x", "v1"), (3, "", None), (4, "plain", "v2")]
+    got = chunks.chunk_documents(spark.createDataFrame(rows, "doc_id long, text string, version string"), 40).collect()
+    texts = {r[0]: r[1] for r in rows}
+    assert all(texts[c["doc_id"]][c["start"] : c["end"]] == c["text"] and c["quote"] == c["text"][:60] for c in got)
+    assert {c["doc_id"] for c in got} == {1, 4} and [c["version"] for c in got if c["doc_id"] == 4] == ["v2"]
+
+
+def test_markdown(spark):
+    split = lambda t: tuple(one(spark, markdown.split_frontmatter, t))
+    assert split("---\ntitle: a\n---\n\nbody\n---\n") == ("title: a\n", "body\n---\n") and split("---\nopen") == (None, "---\nopen") and split("text") == (None, "text")
+    assert split("---\n---\nb") == ("", "b")
+    strict = lambda t: tuple(one(spark, markdown.strict_frontmatter, t))
+    assert strict("---\na: 1\n---\n\nb") == ("a: 1", "b", None) and strict("---\na")[2] == "unclosed" and strict("b")[2] == "missing"
+    block = "title: 'x y'\ntags: [a, \"b\"]\nlinks:\n- src-1\n- src-2\nnone: []"
+    assert one(spark, lambda c: markdown.scalar(c, "title"), block) == "x y" and one(spark, lambda c: markdown.listed(c, "tags"), block) == ["a", "b"]
+    assert one(spark, lambda c: markdown.listed(c, "links"), block) == ["src-1", "src-2"] and one(spark, lambda c: markdown.listed(c, "none"), block) == []
+    rules = [("RAG", "src-1", "RAG"), ("absent", "src-2", "x"), ("graph", "src-3", "g")]
+    assert one(spark, lambda c: markdown.inject_links(c, rules), "RAG and RAG, graph") == "[[src-1|RAG]] and RAG, [[src-3|g]]"
+    assert one(spark, markdown.unique_targets, "[[b|x]] [[a]] [[b]]") == ["b", "a"]
+    assert one(spark, markdown.table_blocks, "| a |\n|--|\nx\n| only |\ny\n|1|\n|2|\n|3|") == 2
+    assert one(spark, markdown.strip_score_lines, "SCORE: 3\nanswer\nscore: 4") == "answer"
 
 
 def test_token_sort_ratio():
