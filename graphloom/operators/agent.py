@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -52,19 +55,27 @@ def ensure_limit(query: Column) -> Column:
 def ttl_cache(calls: DataFrame, key: str, ts: str, order: str, ttl_s: int = 300) -> DataFrame:
     """Marks each call a hit or a miss of a cache whose entries live ``ttl_s`` seconds from the miss that made them.
 
-    A miss starts where the last miss of the key is older than the time to
-    live; that is a fold over a key's calls, made as an aggregate over the
-    key's ordered times.
+    A miss is where the last miss of the key is at least the time to live ago:
+    a fold over a key's calls in order. Calls are sorted within partitions and
+    folded as they stream by, holding one time, so a key with very many calls
+    needs no memory of its own. Calls without a time are left out.
     """
-    seconds = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = calls.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(seconds.alias("t"), F.col(order).alias("o")))).alias("calls"))
-    start = F.struct(F.lit(None).cast("long").alias("made"), F.array().cast(f"array<struct<o:{dict(calls.dtypes)[order]},hit:boolean>>").alias("out"))
-
-    def step(s: Column, c: Column) -> Column:
-        hit = s["made"].isNotNull() & (c["t"] - s["made"] < ttl_s * 1_000_000)
-        return F.struct(F.when(hit, s["made"]).otherwise(c["t"]).alias("made"), F.concat(s["out"], F.array(F.struct(c["o"].alias("o"), hit.alias("hit")))).alias("out"))
-
-    return rows.select(key, F.explode(F.aggregate("calls", start, step, lambda s: s["out"])).alias("x")).select(key, F.col("x.o").alias(order), F.col("x.hit").alias("hit"))
+    rows = calls.filter(F.col(ts).isNotNull()).select(F.col(key), F.unix_micros(F.col(ts).cast("timestamp")).alias("__gl_t"), F.col(order))
+    types = dict(calls.dtypes)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, made = object(), 0
+        for batch in batches:
+            hits = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                hit = k == at and t - made < ttl_s * 1_000_000
+                if not hit:
+                    at, made = k, t
+                hits.append(hit)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(hits, pa.bool_())], names=[key, order, "hit"])
+
+    dealt = rows.repartition(key).sortWithinPartitions(key, "__gl_t", order)
+    return dealt.mapInArrow(fold, f"{key} {types[key]}, {order} {types[order]}, hit boolean")
 
 
 def budget_breach(steps: DataFrame, run: str, order: list[str], tokens: str, max_tokens: int, max_calls: int) -> DataFrame:

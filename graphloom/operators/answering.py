@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from graphloom.functions.text import norm_label, tokens_alnum
 from graphloom.operators import agent
+from graphloom.operators.graph import settle
 
 
 def lexicon_mentions(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -72,10 +73,14 @@ def community_reports(nodes: DataFrame, edges: DataFrame, label: DataFrame) -> D
 
 
 def global_search(reports: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
-    """Map-reduce over reports: a report's score is the question's terms it holds, 0..10; positive ones, best first, up to ``k``."""
+    """Map-reduce over reports: a report's score is the question's terms it holds, 0..10; positive ones, best first, up to ``k``.
+
+    ``reports`` has community and text, and may have many rows of a community,
+    such as one per member: their terms count once.
+    """
     q = questions.select("qid", F.explode(F.array_distinct(tokens_alnum(F.col("text")))).alias("t"))
     n = questions.select("qid", F.size(F.array_distinct(tokens_alnum(F.col("text")))).alias("n"))
-    r = reports.select("community", F.explode(F.array_distinct(tokens_alnum(F.col("text")))).alias("t"))
+    r = reports.select("community", F.explode(F.array_distinct(tokens_alnum(F.col("text")))).alias("t")).distinct()
     scored = q.join(r, "t").groupBy("qid", "community").agg(F.count(F.lit(1)).alias("hit")).join(n, "qid").withColumn("score", F.round(10 * F.col("hit") / F.col("n"), 6))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "community")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("qid", "community", "score", "rank")
@@ -86,13 +91,16 @@ def corrective_loop(questions: DataFrame, retrieve, attempts: int = 3) -> DataFr
 
     ``retrieve`` maps (qid, text) to (qid, id, text, rank). A round's best row
     grades it; a question graded relevant leaves the loop; the rest go on
-    without their commonest word. Only questions are carried between rounds.
+    without their commonest word. Only questions are carried between rounds,
+    and each round is written before the next reads it. Of rows that grade
+    alike the first by rank counts.
     """
     todo, out = questions.select("qid", "text", agent.route(F.col("text")).alias("route")), None
     for attempt in range(1, attempts + 1):
-        got = retrieve(todo.select("qid", "text")).select("qid", "id", F.col("text").alias("row"))
+        got = retrieve(todo.select("qid", "text")).select("qid", "id", "rank", F.col("text").alias("row"))
         share, _ = agent.grade(tokens_alnum(F.col("text")), tokens_alnum(F.col("row")))
-        best = todo.join(got, "qid", "left").withColumn("overlap", F.coalesce(F.round(share, 6), F.lit(0.05))).groupBy("qid", "text", "route").agg(F.max("overlap").alias("overlap"), F.max_by("id", "overlap").alias("id"))
+        best = todo.join(got, "qid", "left").withColumn("overlap", F.coalesce(F.round(share, 6), F.lit(0.05))).groupBy("qid", "text", "route").agg(F.max(F.struct("overlap", (-F.col("rank")).alias("r"), "id")).alias("b"))
+        best = settle(best.select("qid", "text", "route", "b.overlap", "b.id"))
         grade = F.when(F.col("overlap") >= 0.5, "relevant").when(F.col("overlap") <= 0.15, "irrelevant").otherwise("ambiguous")
         done = best.withColumn("grade", grade).withColumn("attempt", F.lit(attempt))
         out = done if out is None else out.unionByName(done)

@@ -7,17 +7,22 @@ checkpoint folder.
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graphloom.operators.skew import join_hot
+
 
 def settle(df: DataFrame) -> DataFrame:
-    """checkpoint() into the folder that ``spark.checkpoint.dir`` names; one is set only where none is."""
+    """checkpoint() into the folder that ``spark.checkpoint.dir`` names; where none is, one is set if driver and executors are one process, else this raises."""
     sc = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
     return df.checkpoint()
 
@@ -97,11 +102,17 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, damping:
 
 
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(id, component): the smallest id reachable, by min-label propagation with pointer jumping."""
+    """(id, component): the smallest id reachable, by min-label propagation with pointer jumping.
+
+    Links of nodes with very many meet the node's label by a broadcast.
+    """
     und = settle(both_ways(edges).select("src", "dst").filter("src <> dst").distinct())
+    degree = settle(und.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("links")))
+    total = degree.agg(F.sum("links")).first()[0] or 0
     label = nodes.select("id", F.col("id").alias("component"))
     for _ in range(max_rounds):
-        low = und.join(label, F.col("dst") == F.col("id")).groupBy("src").agg(F.min("component").alias("low"))
+        at = join_hot(und.withColumnRenamed("dst", "id"), label.join(degree, "id"), ["id"], "links", total)
+        low = at.groupBy("src").agg(F.min("component").alias("low"))
         nxt = label.join(low, F.col("id") == F.col("src"), "left").select("id", F.least("component", F.coalesce("low", "component")).alias("component"))
         up = nxt.select(F.col("id").alias("component"), F.col("component").alias("up"))
         nxt = settle(nxt.join(up, "component", "left").select("id", F.least("component", F.coalesce("up", "component")).alias("component")))
@@ -138,6 +149,15 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 8) -> DataFram
     return components(nodes, inside).select("id", F.col("component").alias("community"))
 
 
+def self_loops(edges: DataFrame) -> DataFrame:
+    return edges.filter("src = dst")
+
+
+def group_members(label: DataFrame) -> DataFrame:
+    """(community, size, first, last): members of every community, counted and by their least and greatest id."""
+    return label.groupBy("community").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first"), F.max("id").alias("last"))
+
+
 def modularity(edges: DataFrame, label: DataFrame) -> DataFrame:
     """One row: modularity of a partition (id, community) of the undirected multigraph."""
     a, b = label.select(F.col("id").alias("src"), F.col("community").alias("ca")), label.select(F.col("id").alias("dst"), F.col("community").alias("cb"))

@@ -46,7 +46,7 @@ def normalize_relations(rel: DataFrame, vocab: DataFrame) -> tuple[DataFrame, Da
     provenances of equal edges are gathered.
     """
     v = vocab.select(F.lower("synonym").alias("syn"), "canonical", "symmetry", "inverse")
-    j = rel.join(F.broadcast(v), F.lower(F.col("type")) == F.col("syn"), "left")
+    j = rel.join(v, F.lower(F.col("type")) == F.col("syn"), "left")
     sym, flip = F.col("symmetry") == "symmetric", (F.col("symmetry") == "inverse") & F.col("inverse").isNotNull()
     h = F.when(sym, F.least("head", "tail")).when(flip, F.col("tail")).otherwise(F.col("head"))
     t = F.when(sym, F.greatest("head", "tail")).when(flip, F.col("head")).otherwise(F.col("tail"))
@@ -157,7 +157,7 @@ def best_mapping(crosswalk: DataFrame) -> DataFrame:
 def check_triples(triples: DataFrame, nodes: DataFrame, shapes: DataFrame) -> DataFrame:
     """Violations (subject, rel, object, rule): dangling ends stop, unknown relations stop, then domain and range."""
     n = nodes.select("id", "label")
-    j = triples.join(n.select(F.col("id").alias("subject"), F.col("label").alias("sl")), "subject", "left").join(n.select(F.col("id").alias("object"), F.col("label").alias("ol")), "object", "left").join(F.broadcast(shapes), "rel", "left")
+    j = triples.join(n.select(F.col("id").alias("subject"), F.col("label").alias("sl")), "subject", "left").join(n.select(F.col("id").alias("object"), F.col("label").alias("ol")), "object", "left").join(shapes, "rel", "left")
     missing, unknown = F.col("sl").isNull() | F.col("ol").isNull(), F.col("domain").isNull()
     rules = F.when(missing, F.array(F.lit("DANGLING"))).when(unknown, F.array(F.lit("UNKNOWN_RELATION"))).otherwise(all_reasons([("DOMAIN_MISMATCH", F.col("sl") != F.col("domain")), ("RANGE_MISMATCH", F.col("ol") != F.col("range"))]))
     return j.select("subject", "rel", "object", F.explode(rules).alias("rule"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import chunks, text
-from graphloom.functions.similarity import token_sort_ratio_udf
+from graphloom.functions.similarity import fuzzy_pairs
 from graphloom.operators import agent, graph, knowledge, retrieval
 from graphloom.sources.tables import graph_view, supply_relations, table
 from graphloom.streaming.ingest import windowed_counts
@@ -82,8 +82,7 @@ def _bm25(spark, d, k=5):
 
 
 def _gold(spark, d):
-    b, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
-    return docs.join(F.broadcast(b.select("item_id", F.col("text").alias("passage"))), F.col("text").contains(F.col("passage"))).select(F.col("item_id").alias("qid"), F.col("doc_id").alias("id"))
+    return retrieval.passages_in(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text"))
 
 
 @query(BM25 + "select qid, id, score, rank from bm where rank <= 5")
@@ -272,12 +271,8 @@ ORACLES.pop("alias_components")  # the recursion is too slow over whole tables;
 
 @query()
 def fuzzy_name_pairs(spark, d):
-    """Pairs of different part names of one type at 90 or more by sorted tokens; lengths prune before the ratio is taken."""
-    n = table(spark, d, "part").select("p_type", "p_name").distinct()
-    a, b = n.select("p_type", F.col("p_name").alias("a")), n.select("p_type", F.col("p_name").alias("b"))
-    la, lb = F.length("a"), F.length("b")
-    pairs = a.join(b, "p_type").filter((F.col("a") < F.col("b")) & (2 * F.least(la, lb) / (la + lb) >= 0.9))
-    return pairs.withColumn("ratio", F.round(token_sort_ratio_udf("a", "b"), 4)).filter("ratio >= 90")
+    """Pairs of different part names of one type at 90 or more by sorted tokens."""
+    return fuzzy_pairs(table(spark, d, "part").select(F.col("p_type").alias("type"), F.col("p_name").alias("name"))).withColumnRenamed("type", "p_type")
 
 
 @query("select lower(p_brand) as norm, arg_max(p_type, (p_size >= 25, p_partkey)) as concept from part group by 1")
@@ -450,7 +445,8 @@ def grade_overlap(spark, d):
     return j.select("conv_id", "turn", F.round(share, 6).alias("overlap"), g.alias("grade"))
 
 
-@query()
+@query("""with recursive e as (select user_id || ':' || event_type as key, epoch_us(ts) as t from events), nx as (select a.key, a.t, min(b.t) as n from (select distinct key, t from e) a left join e b on b.key = a.key and b.t >= a.t + 3600000000 group by all),
+m(key, t) as (select key, min(t) from e group by 1 union all select m.key, nx.n from m join nx using (key, t) where nx.n is not null) select false as hit, count(*) as n from m union all select true, (select count(*) from e) - (select count(*) from m)""")
 def ttl_cache_hits(spark, d):
     e = table(spark, d, "events").withColumn("key", F.concat_ws(":", F.col("user_id").cast("string"), "event_type"))
     return agent.ttl_cache(e, "key", "ts", "event_id", 3600).groupBy("hit").agg(F.count(F.lit(1)).alias("n"))

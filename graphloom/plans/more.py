@@ -109,13 +109,15 @@ def read_only_guard(spark, d):
     return q.select("conv_id", "turn", agent.read_only_reason(F.col("q")).alias("reason"), agent.ensure_limit(F.col("q")).alias("limited"))
 
 
-@query()
+@query("""with m as (select 'nation:' || n_nationkey as community, n_name as name from nation union all select 'region:' || r_regionkey, r_name from region union all select 'nation:' || c_nationkey, c_name from customer union all select 'nation:' || s_nationkey, s_name from supplier),
+t as (select distinct community, unnest(regexp_extract_all(lower(name), '[a-z0-9]+')) as t from m), q as (select n_nationkey as qid, unnest(list_distinct(regexp_extract_all(lower('summary of ' || n_name), '[a-z0-9]+'))) as t from nation), n as (select qid, count(*) as n from q group by 1),
+s as (select qid, community, round(10 * count(*) / n::double, 6) as score from q join t using (t) join n using (qid) group by qid, community, n) select qid, community, score, row_number() over (partition by qid order by score desc, community) as rank from s qualify rank <= 5""")
 def community_report_search(spark, d):
     nodes, edges = graph_view(spark, d)
     near = edges.filter("type <> 'SELLS_TO'")
     label = nodes.join(near.filter("type = 'IN_NATION'").select(F.col("src").alias("id"), F.col("dst").alias("c")), "id", "left").select("id", F.coalesce("c", "id").alias("community"))
     questions = table(spark, d, "nation").select(F.col("n_nationkey").alias("qid"), F.concat(F.lit("summary of "), "n_name").alias("text"))
-    return answering.global_search(answering.community_reports(nodes, near, label), questions)
+    return answering.global_search(nodes.join(label, "id").select("community", F.col("name").alias("text")), questions)
 
 
 @query()

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from graphloom.functions import markdown as md
 from graphloom.operators import evaluation as ev
 from graphloom.operators import harness as hs
-from graphloom.operators import store
+from graphloom.operators import graph, knowledge, store
 from graphloom.operators import vocabulary as vo
 from graphloom.plans.catalog import query
 from graphloom.sources.tables import table
@@ -287,6 +288,49 @@ def edges_touching(spark, d):
     return store.edges_touching(supplies(spark, d), spark.sql("select explode(array('s1', 's2', 'p1', 'p5')) as id"))
 
 
+@query("""with e as (select distinct 'n' || l_suppkey as src, 'n' || l_partkey as dst from lineitem) select src as id from e where src = dst""")
+def self_loops(spark, d):
+    n = lambda k: F.concat(lit("n"), c(k).cast("string"))
+    return graph.self_loops(table(spark, d, "lineitem").select(n("l_suppkey").alias("src"), n("l_partkey").alias("dst")).distinct()).select(c("src").alias("id"))
+
+
+@query("""with o as (select o_orderkey as k, lead(o_orderkey) over (order by o_orderkey) as n from orders), s as (select k, case when lag(k % 7) over (order by k) = 0 or lag(k) over (order by k) is null then 1 else 0 end as new from o),
+g as (select k, sum(new) over (order by k) as g from s) select k as id, min(k) over (partition by g) as component from g""")
+def components_of_runs(spark, d):
+    """Orders linked to the next one, but for every seventh key: as many components as runs."""
+    o = table(spark, d, "orders").select(c("o_orderkey").alias("id"))
+    edges = o.select(c("id").alias("src"), F.lead("id").over(Window.orderBy("id")).alias("dst")).filter("dst is not null and src % 7 <> 0")
+    return graph.components(o, edges.withColumn("type", lit("NEXT")).withColumn("edge_id", c("src")))
+
+
+@query("""select p_partkey as id, min(p_partkey) over (partition by p_partkey // 10) as component from part""")
+def alias_components_of_decades(spark, d):
+    """Parts chained by keys that each two neighbours share, within runs of ten ids."""
+    k = c("p_partkey")
+    key = lambda name, x, keep: table(spark, d, "part").filter(keep).select(k.alias("id"), F.concat(lit(name), x.cast("string")).alias("key"))
+    keys = key("x", F.floor(k / 2), lit(True)).unionByName(key("y", F.floor((k + 1) / 2), (k % 10 != 9) & (k % 10 != 0)))
+    return knowledge.alias_components(keys)
+
+
+@query("""with p as (select a.s_suppkey as h, b.s_suppkey as t, 'x' || a.s_suppkey || '-' || b.s_suppkey as prov from supplier a join supplier b on a.s_nationkey % 5 = b.s_nationkey % 5 where a.s_suppkey <= 60 and b.s_suppkey <= 60)
+select 's' || lpad(least(h, t)::varchar, 6, '0') as head, 's' || lpad(greatest(h, t)::varchar, 6, '0') as tail, 'PEER_OF' as type, count(*) as support from p where h <> t group by 1, 2 union all select 'rejected', reason, 'n', n from (select 'SELF_LOOP' as reason, count(*) as n from p where h = t)""")
+def symmetric_relations(spark, d):
+    """Peers given both ways are one edge with both provenances; an edge to itself is rejected."""
+    s = table(spark, d, "supplier").filter("s_suppkey <= 60").select(F.col("s_suppkey").alias("k"), (F.col("s_nationkey") % 5).alias("g"))
+    name = lambda x: F.concat(lit("s"), F.lpad(x.cast("string"), 6, "0"))
+    j = s.alias("a").join(s.alias("b"), F.col("a.g") == F.col("b.g"))
+    rel = j.select(name(F.col("a.k")).alias("head"), lit("peer").alias("type"), name(F.col("b.k")).alias("tail"), F.concat(lit("x"), F.col("a.k").cast("string"), lit("-"), F.col("b.k").cast("string")).alias("prov"))
+    ok, bad = knowledge.normalize_relations(rel, spark.createDataFrame([("peer", "PEER_OF", "symmetric", None)], "synonym string, canonical string, symmetry string, inverse string"))
+    out = ok.select("head", "tail", "type", F.col("support").cast("long").alias("support"))
+    return out.unionByName(bad.groupBy("reason").agg(F.count(lit(1)).alias("support")).select(lit("rejected").alias("head"), F.col("reason").alias("tail"), lit("n").alias("type"), "support"))
+
+
+@query("""with e as (select user_id, ts, event_id from events) select user_id % 10 as community, count(distinct user_id) as size, min(user_id) as first, max(user_id) as last from e group by 1""")
+def community_members(spark, d):
+    u = table(spark, d, "events").select(F.col("user_id").alias("id")).distinct()
+    return graph.group_members(u.withColumn("community", F.col("id") % 10))
+
+
 # -- evaluation --------------------------------------------------------------------
 
 CASES = """with k as (select o_orderkey as "case", count(*) as walked, count(distinct l_suppkey) as sup, o_orderkey % 4 as req, list(distinct l_suppkey) as s, list(distinct l_linestatus) as st from orders join lineitem on l_orderkey = o_orderkey group by o_orderkey),

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from graphloom.functions import chunks, markdown, similarity, text
-from graphloom.operators import agent, graph, knowledge, retrieval
+from graphloom.operators import agent, evaluation, graph, harness, knowledge, retrieval, vocabulary
 from graphloom.sources import tables
 from graphloom.streaming.ingest import stream_merge
 
@@ -219,3 +219,60 @@ def test_stream_merges_files_once(spark, tmp_path):
     run()
     last = spark.read.parquet(str(tmp_path / "store" / "v1")).collect()
     assert [(r["provs"], r["status"], r["ingested_in"]) for r in last] == [(["p", "q"], "accumulated", ["v0", "v1"])]
+
+
+def test_fuzzy_pairs_against_all_pairs(spark):
+    rng = random.Random(5)
+    words = ["alpha", "alpho", "beta", "betta", "gamma", "gama", "delta", "x", "yz"]
+    names = sorted({(rng.choice("ab"), " ".join(rng.choice(words) for _ in range(rng.randint(1, 4)))) for _ in range(120)})
+    for percent in (90, 75):
+        got = {tuple(r)[:3] for r in similarity.fuzzy_pairs(spark.createDataFrame(names, "type string, name string"), percent).collect()}
+        want = {(t, a, b) for t, a in names for u, b in names if t == u and a < b and similarity.token_sort_ratio(a, b) >= percent}
+        assert got == want
+
+
+def test_passages_are_found_where_they_stand(spark):
+    docs = [(1, "he said one two three four five six, twice"), (2, "one  two three four five six"), (3, "xone two three four fivey"), (4, "short one"), (5, None)]
+    items = [(1, "one two three four five"), (2, "short"), (3, "not in any of these texts"), (4, None)]
+    got = retrieval.passages_in(spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(items, "qid long, text string"))
+    assert {tuple(r) for r in got.collect()} == {(1, 1), (1, 3), (2, 4)}
+
+
+def test_ttl_cache_folds_each_key(spark):
+    rng = random.Random(2)
+    calls = [(k, t, i) for i, (k, t) in enumerate((rng.choice("ab"), rng.randint(0, 2000)) for _ in range(400))]
+    frame = spark.createDataFrame(calls, "key string, t long, n long").selectExpr("key", "timestamp_seconds(t) as ts", "n")
+    got = {r["n"]: r["hit"] for r in agent.ttl_cache(frame, "key", "ts", "n", 60).collect()}
+    made, want = {}, {}
+    for k, t, i in sorted(calls, key=lambda c: (c[0], c[1], c[2])):
+        want[i] = k in made and t - made[k] < 60
+        if not want[i]:
+            made[k] = t
+    assert got == want
+
+
+def test_published_figures():
+    """Rows of the published tables that are consistent: F1 of construction, ranks fused with k = 60, an average degree."""
+    p, r = 7 / 8, 7 / 10
+    assert (round(p, 3), round(r, 2), round(2 * p * r / (p + r), 3)) == (0.875, 0.7, 0.778)
+    assert [round(1 / (60 + k), 4) for k in (1, 2, 3)] == [0.0164, 0.0161, 0.0159] and round(22 / 14, 2) == 1.57
+
+
+def test_graph_metrics_by_hand(spark):
+    rows = [(1, 2, ["a"], ["x", "y"], ["x"], ["Foo", " bar"], ["FOO "]), (2, 0, [], [], ["x"], [], ["q"]), (3, 1, ["a", "b"], ["x"], ["x", "z"], ["Q"], ["q"])]
+    cases = spark.createDataFrame(rows, "case int, required_hops int, edges array<string>, reference array<string>, connected array<string>, gold_entities array<string>, entities array<string>")
+    got = {r["case"]: tuple(r)[1:] for r in evaluation.score_cases(cases).collect()}
+    assert got == {1: (0.5, 0.5, 0.5), 2: (1.0, 0.0, 0.0), 3: (1.0, 1.0, 1.0)}
+    assert [round(x, 6) for x in evaluation.macro(evaluation.score_cases(cases), ["multihop_path_hit", "graph_grounding_coverage", "entity_coverage"]).first()] == [0.833333, 0.5, 0.5]
+
+
+def test_harness_by_hand(spark):
+    row = lambda f, v: one(spark, f, v)
+    assert row(harness.graph_key, '{"from": "a", "relation": "R", "to": "b"}') == "a -[R]-> b" and row(harness.graph_key, '{"name": "a", "neighbor": "b"}') == "a ~ b" and row(harness.graph_key, '{"x": 1}') is None
+    assert [tuple(c) for c in row(harness.citations, '{"chunk_id": "c1", "source": "s"}')] == [("c1", "chunk", "s")]
+    assert [tuple(c) for c in row(harness.citations, '{"source": "s"}')] == [("s", "source", "s")]
+    assert row(harness.rows_of, '{"ok": true}') == ['{"ok":true}'] and row(harness.rows_of, '{"rows": [{"a":1}, 3]}') == ['{"a":1}'] and row(harness.rows_of, "[]") == []
+    assert row(harness.labels_in, "MATCH (n:A)-[:R]->(:B), (x:A)") == ["A", "B"] and row(harness.relations_in, "MATCH (n:A)-[:R]->(:B)-[r:S]-()") == ["R", "S"]
+    assert row(harness.statements, "a; b;") == 2 and row(harness.dangerous_procedure, "CALL dbms.x()") == "dbms." and row(harness.dangerous_procedure, "CALL db.index.q()") is None
+    assert row(lambda c: vocabulary.substring_trap(c, F.lit("self rag")), "rag") and row(lambda c: vocabulary.substring_trap(c, F.lit("crag")), "rag") and not row(lambda c: vocabulary.substring_trap(c, F.lit("lightrag")), "light rag")
+    assert len(row(vocabulary.mock_embedding, "RAG")) == 64 and row(vocabulary.mock_embedding, " rag ") == row(vocabulary.mock_embedding, "RAG")
