@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graphloom.operators.skew import HOT, join_hot
+
+__all__ = ["HOT", "WS", "arrow_rows", "discard", "join_hot", "salted_rank", "scratch_dir", "scratch_path", "staged", "table"]
+
 #: ASCII white space, as the word rules of these operators use it.
 WS = r"[\x20\x09-\x0D]+"
 
@@ -70,35 +74,6 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-#: A key with more than this share of the rows is hot; fewer than 1 / HOT keys can be.
-HOT = 0.0005
-
-
-def join_hot(rows: DataFrame, side: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
-    """Inner join of ``rows`` with ``side`` (one row per ``keys``, read twice), whose column ``count`` tells how many of the ``total`` rows have its keys.
-
-    Keys with more than a share ``HOT`` of the rows are at most 1 / HOT in
-    number, whatever the data, so they are broadcast; only the rest is dealt
-    by key, and no task gets more than that share of one key. ``count`` is
-    left out.
-    """
-    few, light = _parted(rows, side, keys, count, total)
-    return rows.join(F.broadcast(few.drop("__gl_hot")), keys).unionByName(light[0].join(light[1], keys))
-
-
-def left_join_hot(rows: DataFrame, side: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
-    """As ``join_hot``, keeping rows without a partner."""
-    few, light = _parted(rows, side, keys, count, total)
-    return rows.join(F.broadcast(few.drop("__gl_hot")), keys).unionByName(light[0].join(light[1], keys, "left"))
-
-
-def _parted(rows: DataFrame, side: DataFrame, keys: list[str], count: str, total: int) -> tuple[DataFrame, tuple[DataFrame, DataFrame]]:
-    hot = F.col(count) > max(1.0, total * HOT)
-    few = side.filter(hot).drop(count).withColumn("__gl_hot", F.lit(True))
-    marked = rows.join(F.broadcast(few.select(*keys, "__gl_hot")), keys, "left")
-    return few, (marked.filter("__gl_hot is null").drop("__gl_hot"), side.filter(~hot).drop(count))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

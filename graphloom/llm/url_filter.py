@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import left_join_hot, staged, table
+from graphloom.llm.common import join_hot, staged, table
 
 #: (action, host, path) of the contract's rules.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -109,7 +109,7 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: tuple = RULES) -> Dat
     by_url = found(of_url, "host", "path").withColumnRenamed("listed", "listed_url")
     rows = staged(by_host.withColumnRenamed("listed", "listed_host"), "listed-hosts")
     total = urls.agg(F.sum("n")).first()[0] or 0
-    split = left_join_hot(left_join_hot(split, rows, ["host"], "n", total), staged(by_url, "listed-urls"), ["host", "path"], "n", total)
+    split = join_hot(join_hot(split, rows, ["host"], "n", total, "left"), staged(by_url, "listed-urls"), ["host", "path"], "n", total, "left")
     both = F.sort_array(F.array_distinct(F.concat(F.coalesce("listed_host", F.array().cast("array<string>")), F.coalesce("listed_url", F.array().cast("array<string>")))))
     ruled = F.col("rule").isNotNull()
     return split.withColumn("listed", F.when(~ruled, both)).select(
