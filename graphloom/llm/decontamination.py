@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,11 +44,16 @@ OWN_ITEMS = 16
 MEMO_BYTES = 8 << 20
 #: A word: a run of letters and digits, or one character of a script without spaces.
 _WORDS = re.compile(r"[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]|[^\W_\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]+")
+#: The same for texts without such characters, which is faster.
+_SPACELESS, _RUNS = re.compile(r"[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]").search, re.compile(r"[^\W_]+")
+#: A seed's number modulo this looks it up in a table of bits before it is searched for.
+SIEVE = (1 << 20) - 1
 HITS = "doc_id long, item_id long, score double, start long, end long"
 
 
 def words_of(text: str) -> list[str]:
-    return _WORDS.findall(text.lower())
+    low = text.lower()
+    return (_WORDS if _SPACELESS(low) else _RUNS).findall(low)
 
 
 class Block:
@@ -70,6 +76,8 @@ class Block:
         codes = np.array([c for c, _, _ in places], np.int64)
         self.seeds, first = np.unique(codes, return_index=True)
         self.first = np.append(first, len(places))
+        self.sieve = np.zeros(SIEVE, bool)
+        self.sieve[codes % SIEVE] = True
         self.item, self.at = np.array([k for _, k, _ in places], np.int64), np.array([p for _, _, p in places], np.int64)
 
     def own(self, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,16 +96,16 @@ class Block:
         for kind, offsets in enumerate(SEEDS):
             n = len(words) - offsets[-1]
             if n > 0:
-                parts = [words[:n], *[words[o : o + n] for o in offsets]]
-                code, known = np.zeros(n, np.int64), np.ones(n, bool)
-                for w in parts:
+                code, known = words[:n], words[:n] > 0
+                for o in offsets:
+                    w = words[o : o + n]
                     code, known = code * self.base + w, known & (w > 0)
                 pos = np.flatnonzero(known)
                 yield pos, code[pos] * len(SEEDS) + kind
 
     def numbers(self, text: str) -> np.ndarray:
-        get = self.vocab.get
-        return np.array([get(w, 0) for w in words_of(text)], np.int64)
+        words = words_of(text)
+        return np.fromiter(map(self.vocab.get, words, repeat(0)), np.int64, len(words))
 
     def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(positions, seed numbers) of the seeds in a text's word numbers."""
@@ -110,6 +118,8 @@ class Block:
         if not found:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         pos, codes = np.concatenate([p for p, _ in found]), np.concatenate([c for _, c in found])
+        may = np.flatnonzero(self.sieve[codes % SIEVE])
+        pos, codes = pos[may], codes[may]
         seed = np.searchsorted(self.seeds, codes)
         seed[seed == len(self.seeds)] = 0
         ok = self.seeds[seed] == codes
@@ -218,7 +228,7 @@ def _spans(text: str, first: int, end: int) -> tuple[int, int]:
     if len(low) != len(text):  # a lower case of another length: let the words of the text itself count
         low = text
     start = stop = 0
-    for i, m in enumerate(_WORDS.finditer(low)):
+    for i, m in enumerate((_WORDS if _SPACELESS(low) else _RUNS).finditer(low)):
         if i == first:
             start = m.start()
         if i == end - 1:
