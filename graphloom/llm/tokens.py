@@ -4,8 +4,8 @@ A tokenizer that splits its input before merging never merges across a split,
 so a text's ids are the ids of its pieces in a row. Pieces are cut only where
 the tokenizer itself always splits; texts in which that isn't certain are cut
 by the slower general rule. Invented and natural prose repeat their words, so
-most pieces are looked up. A cache holds at most 300,000 pieces of at most 64
-characters, about 55 MB.
+most pieces are looked up. A cache holds a bounded number of pieces of at
+most 64 characters, some tens of MB.
 
 Strings of special tokens in a text are that token, as the library has it by
 default, or ordinary text where ``special=False``; texts that hold one go to
@@ -20,8 +20,8 @@ import unicodedata
 from array import array
 from functools import lru_cache
 
-#: Entries of one generation of a cache; there are two.
-CACHE = 150_000
+#: Entries of one generation of a cache, of which there are two, by kind of tokenizer: runs with their space, as byte-level ones have them, are more.
+WORD_CACHE, BYTE_CACHE = 100_000, 250_000
 #: Characters that Python counts as white space and the tokenizers don't.
 _ODD = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -54,16 +54,16 @@ class _Pieces(dict):
     are asked for again come back.
     """
 
-    def __init__(self, make):
+    def __init__(self, make, size: int):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.size, self.old = make, size, {}
 
     def __missing__(self, piece: str) -> bytes:
         out = self.old.get(piece)
         if out is None:
             out = self.make(piece)
         if len(piece) <= 64:
-            if len(self) >= CACHE:
+            if len(self) >= self.size:
                 self.old = dict(self)
                 self.clear()
             self[piece] = out
@@ -82,10 +82,10 @@ class _Runs:
     but lower case.
     """
 
-    def __init__(self, tokenizer, pattern: str, lower: bool):
+    def __init__(self, tokenizer, pattern: str, lower: bool, size: int):
         self.tokenize, self.lower = tokenizer.model.tokenize, lower
         self.find = re.compile(pattern.format(L=_LETTERS, N=_NUMBERS)).findall
-        self.of = _Pieces(self._merge).__getitem__
+        self.of = _Pieces(self._merge, size).__getitem__
 
     def _merge(self, run: str) -> bytes:
         if run[0] == " " and _SHOWN(run, 1):
@@ -102,8 +102,8 @@ class WordEncoder:
     """For tokenizers that drop white space (``word_bpe``): other texts are cut into words."""
 
     def __init__(self, tokenizer):
-        self.runs = _Runs(tokenizer, r"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^\s{L}{N}]+", True)
-        self.words = _Pieces(lambda w: _packed(tokenizer.encode(w, add_special_tokens=False).ids))
+        self.runs = _Runs(tokenizer, r"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^\s{L}{N}]+", True, WORD_CACHE)
+        self.words = _Pieces(lambda w: _packed(tokenizer.encode(w, add_special_tokens=False).ids), WORD_CACHE)
 
     def __call__(self, text: str) -> bytes:
         if _LATIN(text):
@@ -116,8 +116,8 @@ class ByteEncoder:
     """For byte-level BPE with the usual split rule: in other texts a piece starts at a space before a non-space."""
 
     def __init__(self, tokenizer):
-        self.runs = _Runs(tokenizer, r"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^\s{L}{N}]+|\s+(?!\S)|\s+", False)
-        self.pieces = _Pieces(lambda s: _packed(tokenizer.encode(s, add_special_tokens=False).ids))
+        self.runs = _Runs(tokenizer, r"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^\s{L}{N}]+|\s+(?!\S)|\s+", False, BYTE_CACHE)
+        self.pieces = _Pieces(lambda s: _packed(tokenizer.encode(s, add_special_tokens=False).ids), BYTE_CACHE)
 
     def __call__(self, text: str) -> bytes:
         if _LATIN(text):
