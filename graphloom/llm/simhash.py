@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.llm.common import discard, join_hot, staged, table
+from graphloom.llm.common import arrow_rows, discard, join_hot, staged, table
 
 #: Largest block of a bucket that one group compares.
 BLOCK = 1024
@@ -196,7 +196,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def _grouped(docs: DataFrame, words: int, radius: int) -> DataFrame:
     """doc_id, th (hash of the text), fp, component_id and root (the component's smallest fingerprint) of every row."""
-    rows = staged(fingerprints(docs, words), "fingerprints")
+    with arrow_rows(docs.sparkSession, 1000):
+        rows = staged(fingerprints(docs, words), "fingerprints")
     firsts = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
     roots = staged(components(links(firsts.select("fp"), radius)), "components")
     linked = roots.join(firsts, roots["node"] == firsts["fp"])
