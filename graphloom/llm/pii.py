@@ -25,8 +25,6 @@ text are cut from blocks of it. So the work is linear in a text's mentions.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +42,8 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 #: Words around a mention that count as its context, and the letters a term has at least.
 CONTEXT, TERM_LETTERS = 6, 4
+#: Different texts that must show a term beside an entity, in a corpus of any size: one alone would make every word found once a disclosure of what stands beside it.
+SUPPORT = 2
 SPAN = "array<struct<kind:string,start:int,end:int>>"
 WORD = r"\p{L}+"
 #: Elements of a block of a running sum; code points of a block of a text.
@@ -162,11 +162,6 @@ def _words(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.lower(w))
 
 
-def default_support(texts: int) -> int:
-    """Different texts that must show a term beside an entity: two, and one more for every tenfold beyond ten thousand texts."""
-    return 2 + max(0, math.floor(math.log10(max(texts, 1) / 1e4)))
-
-
 def mentions(found: DataFrame) -> DataFrame:
     """One row per distinct text with base spans: hash, and for every mention its entities and the hashes of its context terms.
 
@@ -181,7 +176,7 @@ def mentions(found: DataFrame) -> DataFrame:
     return rows.select("hash", each.alias("m")).groupBy("hash").agg(F.any_value("m").alias("m"))
 
 
-def disclosures(docs: DataFrame, threshold: float, support: int | None) -> tuple[DataFrame, DataFrame]:
+def disclosures(docs: DataFrame, threshold: float, support: int) -> tuple[DataFrame, DataFrame]:
     """(terms, occurrences).
 
     terms: term (lower case) and removed, whether it never stands without an
@@ -196,7 +191,6 @@ def disclosures(docs: DataFrame, threshold: float, support: int | None) -> tuple
     hashed = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
     copies = staged(hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("n")), "pii-texts")
     n_texts, n_rows = copies.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    support = support or default_support(n_texts)
     said = staged(mentions(found), "pii-mentions")
     # distinct texts by entity, then by pair; hot entities meet their counts by a broadcast
     once = said.select("hash", F.explode(F.array_distinct(F.flatten(F.transform("m", lambda x: x["e"])))).alias("e"))
@@ -267,13 +261,13 @@ def _sanitised(rows: DataFrame) -> DataFrame:
     return rows.withColumn("__gl_new", F.when(F.size("__gl_s") > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(F.col("__gl_t"))).drop("__gl_s", "__gl_e", "__gl_at", "__gl_parts")
 
 
-def find(docs: DataFrame, threshold: float = 0.95, support: int | None = None) -> DataFrame:
+def find(docs: DataFrame, threshold: float = 0.95, support: int = SUPPORT) -> DataFrame:
     """doc_id, text and the spans of every row of ``docs``: spans_email, spans_ip, spans_card, spans_phone, spans_term.
 
     Null text counts as empty; equal rows get equal spans; an empty table gives
     no rows; other columns are ignored. ``threshold`` is the share of an
     entity's information content that a term may disclose; ``support`` the
-    different texts that must show it (None: by ``default_support``).
+    different texts that must show it, the same for every size of ``docs``.
     """
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("__gl_t"))
     found = with_base_spans(rows)
@@ -281,12 +275,12 @@ def find(docs: DataFrame, threshold: float = 0.95, support: int | None = None) -
     return term_spans(found, hits).withColumnRenamed("__gl_t", "text")
 
 
-def disclosing_terms(docs: DataFrame, threshold: float = 0.95, support: int | None = None) -> DataFrame:
+def disclosing_terms(docs: DataFrame, threshold: float = 0.95, support: int = SUPPORT) -> DataFrame:
     """The terms (term, removed) that disclose an entity of ``docs``."""
     return disclosures(docs, threshold, support)[0]
 
 
-def sanitise(docs: DataFrame, threshold: float = 0.95, support: int | None = None) -> DataFrame:
+def sanitise(docs: DataFrame, threshold: float = 0.95, support: int = SUPPORT) -> DataFrame:
     """``docs`` with its personal data and disclosing terms replaced in ``text``; rows and other columns stay; null text stays null."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__gl_row"), F.coalesce(F.col("text"), F.lit("")).alias("__gl_t"))
     found = with_base_spans(rows)

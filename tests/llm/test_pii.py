@@ -174,6 +174,19 @@ def test_a_term_never_seen_alone_is_removed(spark):
     assert out[:4] == [f"{w} about  wrote <EMAIL> {w} today" for w in filler] and out[4:] == clean
 
 
+def test_rows_that_say_nothing_hide_no_term(spark, tmp_path):
+    """Two texts show a term in a table of any size; the rows that fill it up hold neither the term nor its entity."""
+    known = docs(spark, [f"{w} about Wintergreen wrote ann@x.org" for w in ("alpha", "bravo")])
+    for n in (1_000, 120_000):
+        plain = spark.range(2, n).selectExpr("id as doc_id", "concat('nothing about what they wrote ', id) as text", "'en' as lang", "'src0' as source", "30L as n_chars")
+        frame = known.union(plain)
+        assert {r["term"]: r["removed"] for r in pii.disclosing_terms(frame).collect()} == {"wintergreen": True}
+        frame.write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        rows = pii.query(spark, f"{tmp_path}/{n}")
+        assert rows.count() == n
+        assert {r["doc_id"]: r["spans"] for r in rows.filter("n_term > 0").collect()} == {i: "email:30:39,dropped:12:23" for i in (0, 1)}
+
+
 def test_running_sums(spark):
     rng = np.random.default_rng(2)
     rows = [rng.integers(0, 9, n).tolist() for n in (0, 1, 127, 128, 129, 1000)] + [None]
