@@ -2,7 +2,7 @@ import corpus_pipeline as cp
 from graphloom.llm import decontamination, packing, pii, quality, simhash
 from graphloom.llm.tokens import tokenizer_path
 
-from .helpers import awkward, empty
+from .helpers import awkward, docs, empty
 from .test_packing_bitpack import check_packing, whole
 from .test_pii import brute as pii_brute
 from .test_simhash import brute_components, brute_fingerprint
@@ -46,6 +46,15 @@ def test_stages_against_brute_force(spark, sf_dir):
     assert sorted(map(key, cp.run(spark, sf_dir).collect())) == sorted(map(key, five))
 
 
+def test_sanitising_takes_a_term_out_at_any_size(spark, sf_dir):
+    """The stage's defaults: two texts show a term however many texts that say nothing stand beside them."""
+    known = docs(spark, [f"{w} about Wintergreen wrote ann@x.org" for w in ("alpha", "bravo")])
+    for n in (1_000, 120_000):
+        frame = known.union(spark.range(2, n).selectExpr("id", "concat('nothing about what they wrote ', id)", "'en'", "'src0'", "30L"))
+        rows = cp.sanitise(spark, frame, sf_dir).filter("doc_id < 3").collect()
+        assert {r["doc_id"]: r["text"] for r in rows} == {0: "alpha about  wrote <EMAIL>", 1: "bravo about  wrote <EMAIL>", 2: "nothing about what they wrote 2"}
+
+
 def test_awkward(spark, sf_dir):
     for make in (awkward, empty):
         frame = make(spark)
