@@ -217,14 +217,23 @@ def keyed_upserts(spark, d):
 REL = """with e as (select distinct 'c' || o_custkey as src, 'ORDERED' as type, 'p' || l_partkey as dst, o_orderkey as source_id from orders join lineitem on o_orderkey = l_orderkey) """
 
 
-def relations(spark, d):
+def relation_keys(spark, d):
+    """Relations with bare keys as ends, made distinct before texts are made of them."""
     j = table(spark, d, "orders").join(table(spark, d, "lineitem"), c("o_orderkey") == c("l_orderkey"))
-    return j.select(F.concat(lit("c"), c("o_custkey").cast("string")).alias("src"), lit("ORDERED").alias("type"), F.concat(lit("p"), c("l_partkey").cast("string")).alias("dst"), c("o_orderkey").alias("source_id")).distinct()
+    return j.select(c("o_custkey").alias("src"), c("l_partkey").alias("dst"), c("o_orderkey").alias("source_id")).distinct().select("src", lit("ORDERED").alias("type"), "dst", "source_id")
+
+
+def named_ends(rows):
+    return rows.withColumn("src", F.concat(lit("c"), c("src").cast("string"))).withColumn("dst", F.concat(lit("p"), c("dst").cast("string")))
+
+
+def relations(spark, d):
+    return named_ends(relation_keys(spark, d))
 
 
 @query(REL + """select src, type, dst, count(*) as n, string_agg(source_id::varchar, ',' order by source_id) as source_ids from e group by src, type, dst having count(*) > 1""")
 def bulk_relation_rows(spark, d):
-    return store.bulk_rows(relations(spark, d)).filter("n > 1").select("src", "type", "dst", "n", F.concat_ws(",", F.transform("source_ids", lambda x: x.cast("string"))).alias("source_ids"))
+    return named_ends(store.bulk_rows(relation_keys(spark, d)).filter("n > 1")).select("src", "type", "dst", "n", F.concat_ws(",", F.transform("source_ids", lambda x: x.cast("string"))).alias("source_ids"))
 
 
 @query(REL + """select distinct src, type, dst from e where substr(src, 2)::int % 10 = 1 and substr(dst, 2)::int % 2 = 0""")
@@ -299,7 +308,7 @@ g as (select k, sum(new) over (order by k) as g from s) select k as id, min(k) o
 def components_of_runs(spark, d):
     """Orders linked to the next one, but for every seventh key: as many components as runs."""
     o = table(spark, d, "orders").select(c("o_orderkey").alias("id"))
-    edges = o.select(c("id").alias("src"), F.lead("id").over(Window.orderBy("id")).alias("dst")).filter("dst is not null and src % 7 <> 0")
+    edges = graph.following(o, "id").select(c("id").alias("src"), c("next").alias("dst")).filter("dst is not null and src % 7 <> 0")
     return graph.components(o, edges.withColumn("type", lit("NEXT")).withColumn("edge_id", c("src")))
 
 
