@@ -101,24 +101,29 @@ def sections(docs: DataFrame, text: str = "body") -> DataFrame:
     A section runs from the line after its heading to the next heading. Text
     before the first heading is a section of level 0 if it isn't blank, and so
     is the whole of a text without headings. A heading's path is the last
-    heading of each higher level that no still higher one has closed. Only
-    lines that are headings leave the scan of a text's lines.
+    heading of each higher level that no still higher one has closed. A text's
+    lines are read where the text is, and only headings leave it.
     """
-    t = F.col(text)
-    lines = F.split(t, "\n")
-    rows = docs.select("doc_id", t.alias("__gl_t"), F.posexplode(lines).alias("line", "s"))
+    t, none = F.col(text), F.array().cast("array<struct<line:int,at:int,level:int,heading:string,start:int>>")
+    level = lambda s: F.length(F.regexp_extract(s, HEADING, 1))
+
+    def step(a: Column, s: Column) -> Column:
+        after = a["at"] + F.length(s) + 1
+        head = F.struct(a["line"].alias("line"), a["at"].alias("at"), level(s).alias("level"), F.trim(F.regexp_extract(s, HEADING, 2)).alias("heading"), F.least(after, F.length(t)).alias("start"))
+        return F.struct((a["line"] + 1).alias("line"), after.alias("at"), F.when(s.startswith("#") & s.rlike(HEADING), F.concat(a["heads"], F.array(head))).otherwise(a["heads"]).alias("heads"))
+
+    read = F.aggregate(F.split(t, "\n"), F.struct(F.lit(0).alias("line"), F.lit(0).alias("at"), none.alias("heads")), step, lambda a: a["heads"])
+    heads = docs.select("doc_id", F.length(t).alias("size"), t.alias("__gl_t"), F.coalesce(read, none).alias("heads"))
+    blank = (F.size("heads") > 0) & ~F.coalesce(F.substring(F.col("__gl_t"), F.lit(1), F.get("heads", F.lit(0))["at"]).rlike(r"\S"), F.lit(False))
+    root = F.array(F.struct(F.lit(-1).alias("line"), F.lit(0).alias("at"), F.lit(0).alias("level"), F.lit("").alias("heading"), F.lit(0).alias("start")))
+    rows = heads.select("doc_id", "size", F.explode(F.concat(F.when(blank, none).otherwise(root), "heads")).alias("h")).select("doc_id", "size", "h.*")
     starts = Window.partitionBy("doc_id").orderBy("line")
-    rows = rows.withColumn("at", F.coalesce(F.sum(F.length("s") + 1).over(starts.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")).withColumn("size", F.length("__gl_t"))
-    heads = rows.filter(F.col("s").rlike(HEADING)).select("doc_id", "line", "at", "size", F.length(F.regexp_extract("s", HEADING, 1)).alias("level"), F.trim(F.regexp_extract("s", HEADING, 2)).alias("heading"), F.least(F.col("at") + F.length("s") + 1, F.col("size")).alias("start"))
     before = starts.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = lambda level, value: F.last(F.when(F.col("level") == level, F.col(value)), ignorenulls=True).over(before)
-    heads = heads.select("*", F.lead("at").over(starts).alias("next"), *[last(k, v).alias(f"{v}{k}") for k in (1, 2) for v in ("heading", "line")])
-    one = F.when((F.col("level") > 1) & F.col("heading1").isNotNull(), F.array("heading1")).otherwise(F.array().cast("array<string>"))
-    two = F.when((F.col("level") > 2) & F.col("heading2").isNotNull() & (F.coalesce("line1", F.lit(-1)) < F.col("line2")), F.array("heading2")).otherwise(F.array().cast("array<string>"))
-    found = heads.select("doc_id", "level", "heading", F.concat(one, two, F.array("heading")).alias("section_path"), "start", F.coalesce("next", "size").alias("end"))
-    first = heads.groupBy("doc_id").agg(F.min("at").alias("first"))
-    roots = docs.select("doc_id", t.alias("__gl_t")).join(first, "doc_id", "left").withColumn("end", F.coalesce("first", F.length("__gl_t")))
-    roots = roots.filter(F.col("first").isNull() | F.substring(F.col("__gl_t"), F.lit(1), F.col("end")).rlike(r"\S"))
-    roots = roots.select("doc_id", F.lit(0).alias("level"), F.lit("").alias("heading"), F.array().cast("array<string>").alias("section_path"), F.lit(0).alias("start"), "end")
+    rows = rows.select("*", F.lead("at").over(starts).alias("next"), *[last(k, v).alias(f"{v}{k}") for k in (1, 2) for v in ("heading", "line")])
+    no = F.array().cast("array<string>")
+    one = F.when((F.col("level") > 1) & F.col("heading1").isNotNull(), F.array("heading1")).otherwise(no)
+    two = F.when((F.col("level") > 2) & F.col("heading2").isNotNull() & (F.coalesce("line1", F.lit(-1)) < F.col("line2")), F.array("heading2")).otherwise(no)
+    path = F.when(F.col("level") == 0, no).otherwise(F.concat(one, two, F.array("heading")))
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("start", "level")) - 1
-    return roots.unionByName(found).withColumn("section", number)
+    return rows.select("doc_id", "level", "heading", path.alias("section_path"), "start", F.coalesce("next", "size").alias("end")).withColumn("section", number)

@@ -11,36 +11,50 @@ from graphloom.operators import agent
 from graphloom.operators.graph import settle
 
 
+#: Rows of a lexicon that are broadcast.
+FEW = 100_000
+
+
 def lexicon_mentions(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(id, start, end, surface, name) of lexicon words (surface, name) at word or hyphen boundaries, by start.
 
     A text is cut into runs of letters, digits, marks and hyphens with their
     offsets; runs meet the lexicon by hash, so no pattern per entry is tried.
+    A lexicon of up to ``FEW`` rows goes to the texts, which aren't dealt out.
     """
+    few = lexicon.limit(FEW + 1).count() <= FEW
     run = r"[\p{L}\p{N}\p{M}_-]+"
     words, gaps = F.regexp_extract_all("text", F.lit(run), F.lit(0)), F.split("text", run, -1)
     rows = docs.filter("text is not null").select("id", F.posexplode(F.arrays_zip(words.alias("w"), gaps.alias("g"))).alias("pos", "x"))
     w = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.length("x.g") + F.coalesce(F.length("x.w"), F.lit(0))).over(w)
     placed = rows.select("id", F.col("x.w").alias("surface"), end.cast("int").alias("end"))
-    return placed.join(lexicon, "surface").select("id", (F.col("end") - F.length("surface")).alias("start"), "end", "surface", "name")
+    return placed.join(F.broadcast(lexicon) if few else lexicon, "surface").select("id", (F.col("end") - F.length("surface")).alias("start"), "end", "surface", "name")
 
 
 def link(mentions: DataFrame, entities: DataFrame, k: int = 3) -> DataFrame:
     """(mention, stage, id, score): exact name, else alias, else the ``k`` best by shared tokens, else stage none.
 
-    entities (id, name, aliases); each stage sees only what the one before left.
+    entities (id, name, aliases); each stage sees only what the one before
+    left. Entities of one name, one alias or one set of tokens are gathered
+    before mentions meet them: only the first of them by id, or the first
+    ``k``, can be an answer, so a name that very many have is one row.
     """
     m = mentions.select("mention").distinct()
-    exact = m.join(entities.select("id", "name"), F.col("mention") == F.col("name")).groupBy("mention").agg(F.min("id").alias("id")).select("mention", F.lit("exact").alias("stage"), "id", F.lit(1.0).alias("score"))
+    named = entities.groupBy(F.col("name").alias("mention")).agg(F.min("id").alias("id"))
+    exact = settle(m.join(named, "mention").select("mention", F.lit("exact").alias("stage"), "id", F.lit(1.0).alias("score")))
     left = m.join(exact, "mention", "left_anti")
-    alias = entities.select("id", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("a")).select("id", norm_label(F.col("a")).alias("key"))
-    by_alias = left.select("mention", norm_label(F.col("mention")).alias("key")).join(alias, "key").groupBy("mention").agg(F.min("id").alias("id")).select("mention", F.lit("alias").alias("stage"), "id", F.lit(0.9).alias("score"))
-    left = left.join(by_alias, "mention", "left_anti")
+    alias = entities.select("id", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("a")).groupBy("a").agg(F.min("id").alias("id")).groupBy(norm_label(F.col("a")).alias("key")).agg(F.min("id").alias("id"))
+    by_alias = settle(left.select("mention", norm_label(F.col("mention")).alias("key")).join(alias, "key").select("mention", F.lit("alias").alias("stage"), "id", F.lit(0.9).alias("score")))
+    left = settle(left.join(by_alias, "mention", "left_anti"))
     mt = left.select("mention", F.explode(F.array_distinct(tokens_alnum(F.col("mention")))).alias("t"))
-    et = entities.select("id", F.array_distinct(tokens_alnum(F.col("name"))).alias("all")).select("id", F.size("all").alias("n"), F.explode("all").alias("t"))
+    words = F.array_join(F.array_sort(F.array_distinct(tokens_alnum(F.col("name")))), " ").alias("words")
+    first = Window.partitionBy("words").orderBy("id")
+    sets = settle(entities.select("id", words).distinct().withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k).groupBy("words").agg(F.collect_list("id").alias("ids")))
+    et = sets.filter("words <> ''").select("words", F.split("words", " ").alias("all")).select("words", F.size("all").alias("n"), F.explode("all").alias("t"))
     size = left.select("mention", F.size(F.array_distinct(tokens_alnum(F.col("mention")))).alias("m"))
-    hits = mt.join(et, "t").groupBy("mention", "id", "n").agg(F.count(F.lit(1)).alias("both")).join(size, "mention").withColumn("score", F.round(2 * F.col("both") / (F.col("n") + F.col("m")), 6))
+    hits = mt.join(et, "t").groupBy("mention", "words", "n").agg(F.count(F.lit(1)).alias("both")).join(size, "mention").withColumn("score", F.round(2 * F.col("both") / (F.col("n") + F.col("m")), 6))
+    hits = hits.join(sets, "words").select("mention", "score", F.explode("ids").alias("id"))
     top = Window.partitionBy("mention").orderBy(F.desc("score"), "id")
     text = hits.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= k).select("mention", F.lit("fulltext").alias("stage"), "id", "score")
     none = left.join(text, "mention", "left_anti").select("mention", F.lit("none").alias("stage"), F.lit(None).cast("string").alias("id"), F.lit(0.0).alias("score"))

@@ -110,3 +110,55 @@ def test_pairs_are_made_distinct_as_keys(spark, sf_dir):
 def test_modularity_joins_codes_once(spark, sf_dir):
     df = catalog.QUERIES["modularity_full"](spark, sf_dir)
     assert "lineitem" not in plan(df)  # sums are of settled counts by pairs of communities
+
+
+def test_bm25_scores_matrices_not_joined_rows(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "ASKED", 4)
+    docs = [(1, "a b b c"), (1, "a b b c"), (1, "b"), (2, None), (3, "c c a"), (4, "x y"), *[(i, "a d d") for i in range(10, 40)]]
+    asked = [(1, "a b a"), (2, "c d"), (3, "zz"), (4, None), (5, "b c d x")]
+    df = spark.createDataFrame(docs, "id long, text string").repartition(4)
+    got = retrieval.bm25(df, spark.createDataFrame(asked, "qid long, text string"), 4)
+    n, lens = len(docs), [len(t.split()) for _, t in docs if t]
+    tf, avg = {}, sum(lens) / len(lens)
+    for i, t in docs:
+        for w in (t or "").split():
+            tf[w, i, len(t.split())] = tf.get((w, i, len(t.split())), 0) + 1
+    want = set()
+    for q, t in asked:
+        score = {}
+        for w in (t or "").split():
+            df_ = sum(x == w for x, _, _ in tf)
+            for (x, i, m), k in tf.items():
+                if x == w:
+                    score[i] = score.get(i, 0) + math.log(1 + (n - df_ + 0.5) / (df_ + 0.5)) * k * 2.5 / (k + 1.5 * (0.25 + 0.75 * m / avg))
+        for r, (i, v) in enumerate(sorted(((i, round(v, 6)) for i, v in score.items()), key=lambda x: (-x[1], x[0]))[:4]):
+            want.add((q, i, round(v, 5), r + 1))
+    assert {(r["qid"], r["id"], round(r["score"], 5), r["rank"]) for r in got.collect()} == want
+    assert "left_semi" not in plan(got).lower() and "token" not in plan(got)
+
+
+def test_passages_are_sought_where_the_text_is(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUESTIONS", 2)
+    docs = [(1, "x one two three four five y"), (2, "one  two three four five"), (3, None), (4, "oone two\tthree four fivee ab c"), (5, "")]
+    asked = [(1, "one two three four five"), (2, "ab c"), (3, "one two\tthree four five"), (4, None), (5, "")]
+    got = retrieval.passages_in(spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(asked, "qid long, text string"))
+    want = {(q, i) for q, p in asked for i, t in docs if p is not None and t is not None and p in t}
+    assert {(r["qid"], r["id"]) for r in got.collect()} == want and "Generate" not in plan(got)
+
+
+def test_sections_carry_headings_only(spark, sf_dir):
+    p = plan(catalog.QUERIES["section_paths"](spark, sf_dir))
+    assert "posexplode" not in p and "__gl_t" not in p.split("Window")[1]
+
+
+def test_a_small_lexicon_goes_to_the_texts(spark, sf_dir):
+    assert "SortMergeJoin" not in plan(catalog.QUERIES["lexicon_counts"](spark, sf_dir))
+
+
+def test_a_name_that_many_have_is_one_row(spark):
+    from graphloom.operators import answering
+
+    e = spark.createDataFrame([(f"e{i:04}", "hot bolt" if i % 2 else "Cold-Nut", ["b x"] if i < 2 else None) for i in range(500)], "id string, name string, aliases array<string>")
+    m = spark.createDataFrame([("hot bolt",), ("cold nut",), ("B_X",), ("bolt new",), ("none",)], "mention string")
+    got = {(r["mention"], r["stage"], r["id"], r["score"]) for r in answering.link(m, e).collect()}
+    assert got == {("hot bolt", "exact", "e0001", 1.0), ("cold nut", "alias", "e0000", 0.9), ("B_X", "alias", "e0000", 0.9), ("none", "none", None, 0.0), *[("bolt new", "fulltext", f"e000{i}", 0.5) for i in (1, 3, 5)]}
